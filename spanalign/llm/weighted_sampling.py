@@ -4,7 +4,7 @@ Terms are a text's words (split at ASCII white space), weights their counts. For
 r, c ~ Gamma(2, 1) and b ~ Uniform(0, 1); with t = floor(ln(weight) / r + b), the term's hash value is
 a = c * exp(-r * (t - b + 1)), and the sample is the (w, t) with the least a. Two texts agree in a sample with a chance
 equal to the generalised Jaccard similarity of their weights (sum of least weights over sum of greatest), so the share
-of equal samples estimates it. A fingerprint is 64 samples, each as a 32-bit hash of (w, t).
+of equal samples estimates it. A fingerprint is 32 samples, each as a 32-bit hash of (w, t).
 
 DataFrame functions only, with one shuffle of the texts: rows are dealt into buckets of neighbouring ids (quantiles of the id
 column, at most ``most_buckets`` numbers on the driver); the first row of a bucket also goes to the bucket before it, as a
@@ -23,9 +23,9 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SAMPLES = 64
+SAMPLES = 32
 #: Samples taken in one row of the exploded terms: few enough that the generated method stays small and gets compiled.
-TURN = 4
+TURN = 2
 LOW = 0xFFFFFFFF
 
 
@@ -56,26 +56,21 @@ def dealt(docs: DataFrame, id_col: str, text_col: str, bucket_rows: int, most_bu
     return rows.select("id", "text", F.explode(places).alias("p")).select(F.coalesce("p.bucket", F.lit(0)).alias("bucket"), "p.ghost", "id", "text")
 
 
-def sample_values() -> list[Column]:
-    """The packed longs of TURN samples for a row (h: term hash, log_weight, g: which samples): the high half orders by
-    a, the low half is the hash of (h, t)."""
-    out = []
-    for j in range(TURN):
-        k = F.col("g") * (2 * TURN) + 2 * j
-        bits, more = F.xxhash64("h", k), F.xxhash64("h", k + 1)
-
-        def part(x: Column, shift: int, mask: int) -> Column:
-            return F.shiftrightunsigned(x, shift).bitwiseAND(F.lit(mask).cast("long")) + 0.5
-
-        scale = 32 * math.log(2)
-        r = scale - F.log(part(bits, 0, 65535) * part(bits, 16, 65535))
-        c = scale - F.log(part(bits, 32, 65535) * part(bits, 48, 65535))
-        b = part(more, 0, LOW) / float(1 << 32)
-        t = F.floor(F.col("log_weight") / r + b)
-        a = F.log(c) - r * (t - b + 1)
-        packed = F.shiftleft(((a + 128) * float(1 << 23)).cast("long"), 32).bitwiseOR(F.xxhash64(more, t).bitwiseAND(F.lit(LOW).cast("long")))
-        out.append(F.when(F.col("log_weight").isNotNull(), packed).alias(f"v{j}"))
-    return out
+def with_samples(terms: DataFrame) -> DataFrame:
+    """Adds v0 .. for rows (h: term hash, log_weight, g: which samples): packed longs whose high half orders by a and
+    whose low half is the hash of (h, t); null where log_weight is. Step by step, so that nothing is computed twice and
+    the generated method stays small."""
+    kept, each = [F.col(c) for c in ("bucket", "rn", "side", "g")], range(TURN)
+    part = lambda x, shift, mask: F.shiftrightunsigned(x, shift).bitwiseAND(F.lit(mask).cast("long")) + 0.5
+    scale = 32 * math.log(2)
+    k = lambda j: F.col("g") * (2 * TURN) + 2 * j
+    rows = terms.select(*kept, "log_weight", *[F.xxhash64("h", k(j) + i).alias(f"{name}{j}") for j in each for i, name in enumerate(("x", "y"))])
+    r = lambda j: scale - F.log(part(f"x{j}", 0, 65535) * part(f"x{j}", 16, 65535))
+    c = lambda j: F.log(scale - F.log(part(f"x{j}", 32, 65535) * part(f"x{j}", 48, 65535)))
+    rows = rows.select(*kept, "log_weight", *[f"y{j}" for j in each], *[r(j).alias(f"r{j}") for j in each], *[c(j).alias(f"c{j}") for j in each], *[(part(f"y{j}", 0, LOW) / float(1 << 32)).alias(f"b{j}") for j in each])
+    rows = rows.select(*kept, *[f"{n}{j}" for n in "yrcb" for j in each], *[F.floor(F.col("log_weight") / F.col(f"r{j}") + F.col(f"b{j}")).alias(f"t{j}") for j in each])
+    a = lambda j: F.col(f"c{j}") - F.col(f"r{j}") * (F.col(f"t{j}") - F.col(f"b{j}") + 1)
+    return rows.select(*kept, *[F.shiftleft(((a(j) + 128) * float(1 << 23)).cast("long"), 32).bitwiseOR(F.xxhash64(f"y{j}", f"t{j}").bitwiseAND(F.lit(LOW).cast("long"))).alias(f"v{j}") for j in each])
 
 
 def fingerprints(docs: DataFrame, samples: int = SAMPLES, id_col: str = "doc_id", text_col: str = "text", bucket_rows: int = 512, most_buckets: int = 50_000) -> DataFrame:
@@ -105,7 +100,7 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES, id_col: str = "doc_id"
     sides = F.when(F.col("n0") == F.col("n1"), F.array(side(3, "n0"))).otherwise(F.array(side(1, "n0"), side(2, "n1")))
     weighted = counts.select("bucket", "rn", "h", F.explode(sides).alias("s")).filter("s.n > 0 or s.side = 3").select("bucket", "rn", "h", "s.side", F.when(F.col("s.n") > 0, F.log("s.n")).alias("log_weight"))
     turns = F.explode(F.array(*[F.lit(g) for g in range(samples // TURN)])).alias("g")
-    values = weighted.select("bucket", "rn", "side", "h", "log_weight", turns).select("bucket", "rn", "side", "g", *sample_values())
+    values = with_samples(weighted.select("bucket", "rn", "side", "h", "log_weight", turns))
     least = values.groupBy("bucket", "rn", "side", "g").agg(*[F.min(f"v{j}").alias(f"v{j}") for j in range(TURN)])
     either = [F.min(F.when(F.col("side") != other, F.col(f"v{j}"))).alias(f"{name}{j}") for name, other in (("o", 2), ("e", 1)) for j in range(TURN)]
     least = least.groupBy("bucket", "rn", "g").agg(*either)
