@@ -119,10 +119,9 @@ def fit(examples: list[tuple[list[str], list[int], int]], most_voters: int = 300
     seeds = {f"{w}$": 4.0 for w in INSULTS}
     if not n1 or not n0:
         return Model(seeds, -2.0)
-    terms = [{t for w in words for t in terms_of(w)} for words, _, _ in examples]
     df = (Counter(), Counter())
-    for t, label in zip(terms, y, strict=True):
-        df[label].update(t)
+    for words, _, label in examples:  # terms are made anew in each pass: kept, they would be most of the driver's memory
+        df[label].update({t for w in words for t in terms_of(w)})
     least = max(2, math.ceil(0.004 * n1))
     rank = []
     for t in {*df[0], *df[1]}:
@@ -132,20 +131,21 @@ def fit(examples: list[tuple[list[str], list[int], int]], most_voters: int = 300
         p1, p0 = (a + 0.5) / (n1 + 1), (b + 0.5) / (n0 + 1)
         z = (p1 - p0) / math.sqrt(p1 * (1 - p1) / n1 + p0 * (1 - p0) / n0)
         rank.append((z, math.log(p1 / p0), t))
+    del df
     rank.sort(key=lambda x: (-x[0], x[2]))
     mined = [t for z, odds, t in rank if z > 2 and odds > math.log(4)][:most_features]
     voters = mined[:most_voters]
     voters += [t for t in seeds if t not in set(voters)]
     place = {t: i for i, t in enumerate(voters)}
     fires = np.zeros((len(y), len(voters) + 1 + len(examples[0][1])))
-    for i, (t, (_, patterns, _)) in enumerate(zip(terms, examples, strict=True)):
-        hit = [place[x] for x in t if x in place]
+    for i, (words, patterns, _) in enumerate(examples):
+        hit = [place[x] for x in {t for w in words for t in terms_of(w)} if x in place]
         fires[i, hit] = 1
         fires[i, len(voters) :] = [not hit, *patterns]
     target = label_model(fires, y)
     chosen = sorted({*mined, *seeds})
     place = {t: i for i, t in enumerate(chosen)}
-    rows = [np.array(sorted(place[x] for x in t if x in place), np.int64) for t in terms]
+    rows = [np.array(sorted({place[x] for w in words for x in terms_of(w) if x in place}), np.int64) for words, _, _ in examples]
     w, b = linear_classifier(rows, len(chosen), target)
     return Model({t: float(v) for t, v in zip(chosen, w, strict=True) if abs(v) > 1e-6}, b)
 
