@@ -18,6 +18,7 @@ rows; other columns are not read. No shuffle.
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -124,13 +125,13 @@ def backend(m: Model):
 
 
 class Codec:
-    def __init__(self, data: bytes, verify: bool = True, most_words: int = 400_000):
+    def __init__(self, data: bytes, verify: bool = True, most_words: int = 1_000_000):
         import re
 
         self.model, self.most_words = parse(data), most_words
         self.backend = backend(self.model)
         self.words = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+").findall
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}  # ids as 32-bit integers
         self.text_of = [text for text, _, _ in self.model.pieces]
         self.byte_of = {i: int(text[3:5], 16) for i, (text, _, kind) in enumerate(self.model.pieces) if kind == BYTE}
         self.silent = {i for i, (_, _, kind) in enumerate(self.model.pieces) if kind == CONTROL}
@@ -146,17 +147,17 @@ class Codec:
 
     def learn(self, words: set[str]) -> None:
         """Encode words not known yet, in one multithreaded batch, and verify them."""
-        new = sorted(w for w in words if w not in self.known)
+        new = [w for w in words if w not in self.known]
         if not new:
             return
         if len(self.known) + len(new) > self.most_words:
             self.known.clear()
-            new = sorted(words)
-        got = [tuple(e.ids) for e in self.backend.encode_batch_fast(new, add_special_tokens=False)]
+            new = list(words)
+        got = [array("i", e.ids).tobytes() for e in self.backend.encode_batch_fast(new, add_special_tokens=False)]
         if self.judge is not None:
             for w, ids, right in zip(new, got, self.judged(new), strict=True):
-                if ids != tuple(right):
-                    raise ValueError(f"the backends differ on {w!r}: {ids} and {right}")
+                if ids != array("i", right).tobytes():
+                    raise ValueError(f"the backends differ on {w!r}: {list(array('i', ids))} and {right}")
         self.known.update(zip(new, got, strict=True))
 
     def judged(self, words: list[str]) -> list[list[int]]:
@@ -167,14 +168,12 @@ class Codec:
         return [ids[skip:] if x else ids for ids, x in zip(self.judge.encode(texts, num_threads=1), alone, strict=True)]
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        from itertools import chain
-
         for at in range(0, len(texts), 64):
             split = [self.words(self.normalise(t)) for t in texts[at : at + 64]]
             self.learn(set().union(*split))
             get = self.known.__getitem__
             for words in split:
-                yield np.fromiter(chain.from_iterable(map(get, words)), np.int32)
+                yield np.frombuffer(b"".join(map(get, words)), np.int32)
 
     def decode(self, ids: np.ndarray) -> str:
         out: list[str] = []
