@@ -18,6 +18,7 @@ rows; other columns are not read. No shuffle.
 from __future__ import annotations
 
 import hashlib
+import os
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -109,6 +110,7 @@ def parse(data: bytes) -> Model:
 
 def backend(m: Model):
     """The tokenizers object for single words (markers already in place)."""
+    os.environ.setdefault("RAYON_NUM_THREADS", "2")  # idle threads of a wide pool spin
     from tokenizers import Tokenizer, models
 
     ids = {text: i for i, (text, _, _) in enumerate(m.pieces)}
@@ -168,8 +170,8 @@ class Codec:
         return [ids[skip:] if x else ids for ids, x in zip(self.judge.encode(texts, num_threads=1), alone, strict=True)]
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        for at in range(0, len(texts), 64):
-            split = [self.words(self.normalise(t)) for t in texts[at : at + 64]]
+        for at in range(0, len(texts), 256):
+            split = [self.words(self.normalise(t)) for t in texts[at : at + 256]]
             self.learn(set().union(*split))
             get = self.known.__getitem__
             for words in split:
