@@ -59,7 +59,7 @@ def vocab_resolve(spark, sf):
     role = table(spark, sf, "conversations").select("conv_id", "turn", "role")
     lang = F.when(F.col("role") == "user", "en").when(F.col("role") == "assistant", "fr").otherwise("de")
     asked = tokens(spark, sf).join(role, ["conv_id", "turn"]).select(lang.alias("lang"), F.lower("symbol").alias("symbol")).groupBy("lang", "symbol").agg(F.count("*").alias("n"))
-    return lookup.resolve(asked, own.unionByName(general), ["a", "in"]).select("lang", "symbol", "token_id", "n")
+    return lookup.resolve(asked, own.unionByName(general), ["a", "in"]).select("lang", "symbol", F.coalesce("token_id", F.lit(0)).alias("token_id"), "n")
 
 
 @query("select doc_id, lang, source, case when starts_with(label, lang || '/') and length(label) > length(lang) + 1 then substr(label, length(lang) + 2) else label end as label from (select doc_id, lang, source, case when doc_id % 3 = 0 then lang || '/' || source when doc_id % 3 = 1 then source else lang || '/' end as label from documents)")
@@ -244,9 +244,9 @@ def ms_round(spark, sf):
     return table(spark, sf, "events").select("event_id", X.milliseconds(F.col("value")).alias("ms"), F.round("value").cast("long").alias("s"))
 
 
-@query("select event_id, user_id, last_value(case when event_type = 'click' then event_id end ignore nulls) over (partition by user_id order by ts, event_id rows between unbounded preceding and current row) as last_click from events")
+@query("select event_id, user_id, coalesce(last_value(case when event_type = 'click' then event_id end ignore nulls) over (partition by user_id order by ts, event_id rows between unbounded preceding and current row), -1) as last_click from events")
 def frame_asof(spark, sf):
-    return lookup.latest_before(table(spark, sf, "events"), "user_id", ["ts", "event_id"], F.col("event_type") == "click", "event_id", "last_click").select("event_id", "user_id", "last_click")
+    return lookup.latest_before(table(spark, sf, "events"), "user_id", ["ts", "event_id"], F.col("event_type") == "click", "event_id", "last_click").select("event_id", "user_id", F.coalesce("last_click", F.lit(-1)).alias("last_click"))
 
 
 @query(f"with {CLAMP_SQL}, pt as (select user_id, event_id, (epoch_us(ts) - epoch_us(timestamp '2024-01-01')) // 1000 + 1500000 as at_ms from events where event_type = 'view') select pt.user_id, event_id, at_ms, coalesce(min(ord) filter (where on_ms <= at_ms and off_ms >= at_ms), max(ord) filter (where on_ms <= at_ms), 1) as owner from pt left join cl on cl.user_id = pt.user_id and on_ms <= at_ms group by all")
