@@ -50,7 +50,7 @@ VOCAB_SQL = """vocab as (select lang || '/' || w as symbol, count(*) as token_id
 union all select w, count(*) from (select unnest(regexp_split_to_array(lower(text), '[^a-zà-ÿ]+')) as w from documents) where w in ('a', 'de', 'in', 'is', 'le', 'that', 'with') group by 1)"""
 
 
-@query(f"with {VOCAB_SQL}, t as (select conv_id, turn, lower(symbol) as symbol, case role when 'user' then 'en' when 'assistant' then 'fr' else 'de' end as lang from (select t.*, c.role from {TOKENS} t join conversations c using (conv_id, turn))) select lang, symbol, case when symbol in ('a', 'in') then l.token_id else coalesce(q.token_id, l.token_id) end as token_id, count(*) as n from t left join vocab q on q.symbol = lang || '/' || t.symbol left join vocab l on l.symbol = t.symbol group by all".replace("select lang, symbol, case", "select lang, t.symbol as symbol, case").replace("when symbol in ('a'", "when t.symbol in ('a'"))
+@query(f"with {VOCAB_SQL}, t as (select lower(t.symbol) as symbol, case c.role when 'user' then 'en' when 'assistant' then 'fr' else 'de' end as lang from {TOKENS} t join conversations c using (conv_id, turn)) select t.lang, t.symbol, coalesce(case when t.symbol in ('a', 'in') then l.token_id else coalesce(q.token_id, l.token_id) end, 0) as token_id, count(*) as n from t left join vocab q on q.symbol = t.lang || '/' || t.symbol left join vocab l on l.symbol = t.symbol group by all")
 def vocab_resolve(spark, sf):
     words = table(spark, sf, "documents").select("lang", F.explode(F.split(F.lower("text"), "[^a-zà-ÿ]+")).alias("w"))
     shared = ["a", "de", "in", "is", "le"]
