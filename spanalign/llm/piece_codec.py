@@ -137,6 +137,7 @@ class Codec:
         self.text_of = [text for text, _, _ in self.model.pieces]
         self.byte_of = {i: int(text[3:5], 16) for i, (text, _, kind) in enumerate(self.model.pieces) if kind == BYTE}
         self.silent = {i for i, (_, _, kind) in enumerate(self.model.pieces) if kind == CONTROL}
+        self.plain = np.array([i not in self.byte_of and i not in self.silent for i in range(len(self.text_of))])
         self.judge = None
         if verify:
             import sentencepiece
@@ -178,6 +179,8 @@ class Codec:
                 yield np.frombuffer(b"".join(map(get, words)), np.int32)
 
     def decode(self, ids: np.ndarray) -> str:
+        if self.plain[ids].all():
+            return self.spaced("".join(map(self.text_of.__getitem__, ids.tolist())))
         out: list[str] = []
         raw = bytearray()
         for i in ids.tolist():
@@ -191,7 +194,9 @@ class Codec:
                 out.append(self.text_of[i])
         if raw:
             out.append(raw.decode("utf-8", "replace"))
-        text = "".join(out)
+        return self.spaced("".join(out))
+
+    def spaced(self, text: str) -> str:
         if self.model.dummy_prefix:
             text = text.removeprefix(MARK)
         return text.replace(MARK, " ")
