@@ -49,8 +49,7 @@ def op6_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     coded = piece_codec.encode_documents(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), tokenizer_path("piece_bpe_32k.model"))
-    ids = F.concat_ws(",", F.col("ids").cast("array<string>"))
-    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.char_length("decoded").cast("long").alias("decoded_chars"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_xxh64"), F.char_length("decoded").cast("long").alias("decoded_chars"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
