@@ -18,18 +18,22 @@ from pyspark.sql import functions as F
 
 from spanalign.llm import packing, pii, simhash, toxicity
 from spanalign.llm.common import read_table, shared_dir
+from spanalign.session import ship
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
     model = toxicity.train(docs, read_table(spark, sf_dir, "labels"))
     return toxicity.without_toxic(docs, model)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
     return simhash.drop_near_duplicates(docs, words_per_shingle=5, similarity=0.8)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
     columns = docs.columns
     out = docs.withColumn("text", pii.masked(docs, pii.train(docs)))
     if "n_chars" in columns:
@@ -38,6 +42,7 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
     return packing.pack_documents(docs)
 
 
