@@ -168,7 +168,7 @@ def block_pairs(members: DataFrame, few: int, heads: int, turn: int) -> DataFram
     return pairs.unionByName(met.select(F.least("rk", "h.rk").alias("a"), F.greatest("rk", "h.rk").alias("b"))).distinct()
 
 
-def near_duplicate_groups(docs: DataFrame, words_per_shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", few: int = 24, heads: int = 4) -> DataFrame:
+def near_duplicate_groups(docs: DataFrame, words_per_shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", few: int = 96, heads: int = 12) -> DataFrame:
     """Rows (rk, id, keeper, copies) for each distinct (id, text): whether it is the one of its group that stays (the
     least id), and how many rows repeat it. Groups are the components of links of ``similarity`` or more.
 
