@@ -70,10 +70,13 @@ def resample(wave: np.ndarray, rate: int, to: int, half: int = 32, beta: float =
     if rate == to or not len(wave):
         return np.asarray(wave, float)
     cut = rolloff * min(1.0, to / rate)
-    at = np.arange(int(len(wave) * to // rate)) * rate / to
-    base = np.floor(at).astype(int)
-    taps = base[:, None] + np.arange(-half + 1, half + 1)
-    d = taps - at[:, None]
-    w = np.sinc(d * cut) * np.i0(beta * np.sqrt(np.maximum(0, 1 - (d / half) ** 2))) / np.i0(beta)
-    w = np.where((taps >= 0) & (taps < len(wave)), w, 0)
-    return (np.asarray(wave, float)[np.clip(taps, 0, len(wave) - 1)] * w).sum(1) / w.sum(1)
+    x, offsets = np.asarray(wave, float), np.arange(-half + 1, half + 1)
+    out = np.empty(int(len(x) * to // rate))
+    for first in range(0, len(out), 1 << 15):  # bounds the table of taps
+        at = np.arange(first, min(first + (1 << 15), len(out))) * rate / to
+        taps = np.floor(at).astype(int)[:, None] + offsets
+        d = taps - at[:, None]
+        w = np.sinc(d * cut) * np.i0(beta * np.sqrt(np.maximum(0, 1 - (d / half) ** 2))) / np.i0(beta)
+        w = np.where((taps >= 0) & (taps < len(x)), w, 0)
+        out[first : first + len(at)] = (x[np.clip(taps, 0, len(x) - 1)] * w).sum(1) / w.sum(1)
+    return out

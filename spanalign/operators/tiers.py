@@ -43,38 +43,53 @@ def is_skipped(onset: str = "on_ms", offset: str = "off_ms") -> Column:
     return F.col(onset) >= F.col(offset)
 
 
-def handle_skips(spans: DataFrame, key: str, how: str, onset: str = "on_ms", offset: str = "off_ms") -> DataFrame:
+def handle_skips(spans: DataFrame, key: str, how: str, onset: str = "on_ms", offset: str = "off_ms", end: str | None = None) -> DataFrame:
     """omit: zero-width spans go; discard: all spans of a key that has one go; preserve: see ``preserve_skips``."""
     if how == "omit":
         return spans.filter(~is_skipped(onset, offset))
     if how == "discard":
         return spans.join(spans.filter(is_skipped(onset, offset)).select(key).distinct(), key, "left_anti")
     if how == "preserve":
-        return preserve_skips(spans, key, "n", "group_id", onset, offset)
+        return preserve_skips(spans, key, "n", "group_id", onset, offset, end)
     raise ValueError(f"skip handling {how!r}")
 
 
-def place_skips(spans: list[tuple[int, int]], groups: list[int], width: int = 1) -> list[tuple[int, int]]:
-    """Gives each zero-width span ``width`` ms: those of a run before its first group boundary end where the right
-    neighbour of the boundary starts or follow the left neighbour, later spans move on where room is short."""
-    out, at = [], 0
-    for i, (on, off) in enumerate(spans):
-        on = max(on, at)
-        if off <= on and spans[i][0] >= spans[i][1]:
-            off = on + width
-        else:
-            off = max(off, on + width)
-        out.append((on, off))
-        at = off
+def place_skips(spans: list[tuple[int, int]], groups: list[int], end_ms: int | None = None, width: int = 1) -> list[tuple[int, int]]:
+    """Gives each skipped span ``width`` ms inside the gap that its run lies in.
+
+    Spans of a run before the first group boundary continue from the left neighbour; the others end where the right
+    neighbour (after the last span: ``end_ms``) starts, if there is room. Later spans move on where room is short. The
+    first and the last edge of the clip are boundaries."""
+    n, out, i = len(spans), [], 0
+    inner = [g for g in range(1, n) if groups[g - 1] != groups[g]]
+    edges = [0, *inner, n]
+    while i < n:
+        left = out[-1][1] if out else 0
+        on, off = spans[i]
+        if on < off:
+            on = max(on, left)
+            out.append((on, max(off, on + width)))
+            i += 1
+            continue
+        end = next((j for j in range(i, n) if spans[j][0] < spans[j][1]), n)
+        limit = spans[end][0] if end < n else spans[-1][0] if end_ms is None else end_ms
+        before = min(next(e for e in edges if e >= i), end) - i
+        after = end - i - before
+        first_after = max(left + before * width, max(left, limit) - after * width)
+        starts = [left + k * width for k in range(before)] + [first_after + k * width for k in range(after)]
+        out += [(x, x + width) for x in starts]
+        i = end
     return out
 
 
-def preserve_skips(spans: DataFrame, key: str, order: str, group: str, onset: str = "on_ms", offset: str = "off_ms") -> DataFrame:
-    """Keeps skipped spans as 1 ms intervals and moves following onsets; a clip's spans are one bounded sequence."""
+def preserve_skips(spans: DataFrame, key: str, order: str, group: str, onset: str = "on_ms", offset: str = "off_ms", end: str | None = None) -> DataFrame:
+    """Keeps skipped spans as 1 ms intervals and moves following onsets; a clip's spans are one bounded sequence.
+
+    ``end``: a column with the clip's length in ms, towards which a last run is placed (none: where it was found)."""
 
     def place(pdf):
         pdf = pdf.sort_values(order, kind="stable")
-        placed = place_skips(list(zip(pdf[onset], pdf[offset], strict=True)), pdf[group].tolist())
+        placed = place_skips(list(zip(pdf[onset], pdf[offset], strict=True)), pdf[group].tolist(), None if end is None else int(pdf[end].iloc[0]))
         return pdf.assign(**{onset: [a for a, _ in placed], offset: [b for _, b in placed]})
 
     return spans.groupBy(key).applyInPandas(place, spans.schema)

@@ -65,7 +65,8 @@ def interval_lines(spans: DataFrame, key: str) -> DataFrame:
 def text_grids(tiers: DataFrame, ends: DataFrame, key: str) -> DataFrame:
     """(key, content): whole long-format files from gap-filled (key, tier_ord, tier, on_ms, off_ms, text)."""
     tiers = tiers.withColumn("__k", F.struct(key, "tier_ord", "tier"))
-    parts = interval_lines(tiers, "__k").join(ends, F.col("__k")[key] == ends[key]).select(ends[key], F.col("__k.tier_ord").alias("o"), F.col("__k.tier").alias("tier"), "body", "n", ms_as_seconds(F.col("end_ms")).alias("end"))
+    ends = ends.select(F.col(key).alias("__clip"), "end_ms")
+    parts = interval_lines(tiers, "__k").join(ends, F.col("__k")[key] == F.col("__clip")).select(F.col("__clip").alias(key), F.col("__k.tier_ord").alias("o"), F.col("__k.tier").alias("tier"), "body", "n", ms_as_seconds(F.col("end_ms")).alias("end"))
     head = F.concat(F.lit("    item ["), F.col("o").cast("string"), F.lit(']:\n        class = "IntervalTier"\n        name = '), quoted(F.col("tier")), F.lit("\n        xmin = 0\n        xmax = "), F.col("end"), F.lit("\n        intervals: size = "), F.col("n").cast("string"), F.lit("\n"), F.col("body"))
     files = parts.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("o", head.alias("t")))).alias("x"), F.max("end").alias("end"), F.count("*").alias("tiers"))
     top = F.concat(F.lit('File type = "ooTextFile"\nObject class = "TextGrid"\n\nxmin = 0\nxmax = '), F.col("end"), F.lit("\ntiers? <exists>\nsize = "), F.col("tiers").cast("string"), F.lit("\nitem []:\n"))

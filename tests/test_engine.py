@@ -8,8 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spanalign.operators import decode, lookup, network, signal, tiers
-from spanalign.sources import audio, phones, sinks, textgrid
+from spanalign.operators import align, decode, lookup, metrics, network, signal, tiers
+from spanalign.sources import audio, model_file, phones, sinks, textgrid
 from spanalign.streaming import watch
 
 
@@ -177,3 +177,117 @@ def test_queries_against_sql(spark):
         right = sorted(key(r) for r in con.execute(f"select {', '.join(cols)} from ({sql})").fetchall())
         assert left == right, name
     assert queries()["flagship"](spark, d).filter(F.col("off_ms") <= F.col("on_ms")).count() == 0
+
+
+def test_skips_are_placed_inside_their_gap():
+    skipped = [(0, 100), (300, 300), (300, 300), (300, 400)]
+    assert tiers.place_skips(skipped, [1, 1, 2, 3]) == [(0, 100), (100, 101), (299, 300), (300, 400)]
+    assert tiers.place_skips(skipped, [1, 2, 3, 4]) == [(0, 100), (298, 299), (299, 300), (300, 400)]
+    assert tiers.place_skips([(0, 5), (5, 5), (5, 9)], [1, 1, 1]) == [(0, 5), (5, 6), (6, 9)]
+    assert tiers.place_skips([(0, 5), (5, 5)], [1, 2], end_ms=20) == [(0, 5), (19, 20)]
+    assert tiers.place_skips([(5, 5), (5, 9)], [1, 1]) == [(4, 5), (5, 9)]
+    assert tiers.place_skips([], []) == []
+
+
+def test_erf_and_bounded_resampling():
+    x = np.linspace(-8, 8, 4001)
+    assert np.abs(network.erf(x) - [math.erf(v) for v in x]).max() < 1e-10
+    tone = np.sin(np.arange(70000) / 20)
+    up = signal.resample(tone, 24000, 48000)
+    assert len(up) == 140000 and np.abs(up[1000:-1000] - np.sin(np.arange(140000) / 40)[1000:-1000]).max() < 2e-3
+
+
+SMALL = network.Config(dim=32, layers=1, heads=2, head_dim=8, ffn=32, conv=32, kernel=5, merge_kernel=3, mels=80, vocab=6, out=32)
+VOCABULARY = '{"symbols": {"SP": 0, "zh/a": 1, "b": 2, "zh/c": 4}, "global_symbols": ["SP"], "stop_symbols": ["SP"]}'
+ABOUT = {"general.architecture": "x", "m.vocab.json": VOCABULARY, "m.model.in_dim": 80, "m.model.max_vocab_size": 6, "m.model.out_dim": 32, "m.backbone.dim": 32, "m.backbone.num_layers": 1, "m.backbone.num_heads": 2, "m.backbone.head_dim": 8}
+
+
+def test_model_file_round_trip(spark, tmp_path):
+    names = model_file.names_in_file(SMALL)
+    weights = {k: v.astype(np.float32) for k, v in network.random_weights(SMALL).items()}
+    for kind, far in (("F32", 0), ("F16", 2e-3), ("Q8_0", 2e-2), ("Q4_0", 0.3)):
+        data = model_file.dump(ABOUT, {names[k]: v for k, v in weights.items()}, lambda name, x, kind=kind: kind if x.ndim == 2 and ".dw" not in name else "F32")
+        m = model_file.parse(data)
+        assert model_file.config_of("m", m).dim == 32 and model_file.vocabulary_of("m", m)["names"] == ["SP", "zh/a", "b", "<unused>", "zh/c"]
+        got = model_file.weights_of(m, SMALL)
+        assert set(got) == set(weights) and all(np.abs(got[k] - v).max() <= far * max(1, np.abs(v).max()) for k, v in weights.items())
+    (tmp_path / "m.bin").write_bytes(data)
+    m = model_file.read_model(spark, str(tmp_path / "m.bin"), tensors=False)
+    assert not m.tensors and model_file.inspect(spark, "m", m).first().kinds == "F16,F32,Q4_0"
+    for bad, why in ((b"XXXX", "no model"), (data[:100], "early"), (data[:-500], "beyond")):
+        with pytest.raises(model_file.ModelFileError, match=why):
+            model_file.parse(bad)
+    m = model_file.parse(data)
+    del m.tensors["token_embedding.weight"]
+    with pytest.raises(model_file.ModelFileError, match="token_embedding"):
+        model_file.weights_of(m, SMALL)
+    with pytest.raises(model_file.ModelFileError):
+        m.get("m.backbone.dim", str)
+
+
+def test_super_blocks_expand_as_their_layout_says():
+    rng = np.random.default_rng(5)
+    raw = rng.integers(0, 256, (3, 176), np.uint8)
+    raw[:, :4] = np.array([0.5, 0.25], "<f2").view(np.uint8)
+    got = model_file.expand(raw, "Q5_K")
+    for b in range(3):
+        for i in range(256):
+            j = i // 32
+            s = raw[b, 4:16].astype(int)
+            scale, least = (s[j] & 63, s[j + 4] & 63) if j < 4 else (s[j + 4] & 15 | s[j - 4] >> 6 << 4, s[j + 4] >> 4 | s[j] >> 6 << 4)
+            four = int(raw[b, 48 + j // 2 * 32 + i % 32]) >> 4 * (j % 2) & 15
+            q = four + 16 * (int(raw[b, 16 + i % 32]) >> j & 1)
+            assert got[b, i] == pytest.approx(0.5 * scale * q - 0.25 * least)
+    raw = rng.integers(0, 256, (2, 210), np.uint8)
+    raw[:, 208:] = np.array([0.125], "<f2").view(np.uint8)
+    got = model_file.expand(raw, "Q6_K")
+    for b in range(2):
+        for i in range(256):
+            half, quarter, at = i // 128, i % 128 // 32, i % 32
+            four = int(raw[b, 64 * half + 32 * (quarter % 2) + at]) >> 4 * (quarter // 2) & 15
+            two = int(raw[b, 128 + 32 * half + at]) >> 2 * quarter & 3
+            assert got[b, i] == pytest.approx(0.125 * int(raw[b, 192 + i // 16].view(np.int8)) * (four + 16 * two - 32))
+
+
+def test_alignment_from_waveforms_to_files(spark):
+    rng = np.random.default_rng(2)
+    wave = [float(x) for x in rng.normal(0, 0.1, 24000)]
+    clips = spark.createDataFrame([("u", 24000, wave), ("v", 24000, wave[:9600]), ("w", 24000, wave[:20]), ("x", 24000, wave)], "clip_id string, sample_rate int, samples array<float>")
+    labels = spark.createDataFrame([(k, i, s, "zh") for k, seq in (("u", "SP a b c"), ("v", "b a"), ("w", "a"), ("x", "a ?")) for i, s in enumerate(seq.split())], "clip_id string, n int, label string, lang string")
+    vocabulary = model_file.vocabulary_of("m", model_file.ModelFile({"m.vocab.json": VOCABULARY}))
+    encoded = align.encode(labels, align.vocabulary_table(spark, vocabulary), vocabulary["global_symbols"], vocabulary["stop_symbols"]).cache()
+    ids = {r.clip_id: (r.ids, r.error) for r in encoded.collect()}
+    assert ids["u"] == ([1, 2, 4], None) and ids["x"][1] == "unknown label ?"
+    aligned = align.align_clips(clips.join(encoded, "clip_id"), network.random_weights(SMALL), SMALL).cache()
+    rows = {r.clip_id: r for r in aligned.collect()}
+    assert rows["u"].num_frames == 100 and len(rows["u"].spans) == 3 and rows["u"].error is None and 0 < rows["u"].agreement < 1
+    assert "padding" in rows["w"].error and rows["x"].error == "unknown label ?"
+    for skips in ("omit", "preserve"):
+        parts, ends = align.build_tiers(align.span_rows(aligned, encoded), skips)
+        files = {r.clip_id: r.content for r in textgrid.text_grids(parts, ends, "clip_id").collect()}
+        assert set(files) <= {"u", "v"} and "u" in files
+        for content in files.values():
+            back = textgrid.parse(content)
+            assert [t for t, *_ in back][0] == "texts" and {t for t, *_ in back} == {"texts", "words", "phones"}
+            for tier in ("texts", "words", "phones"):
+                edges = [(a, b) for t, _, a, b, _ in back if t == tier]
+                assert edges[0][0] == 0 and all(x[1] == y[0] for x, y in itertools.pairwise(edges))
+
+
+def test_measures_equal_the_table_form(spark):
+    rng = np.random.default_rng(3)
+    sims = rng.uniform(-1, 1, (30, 9))
+    spans, _ = decode.decode(sims, None, 0.5)
+    cells = spark.createDataFrame([("k", t, n, float(sims[t, n])) for t in range(30) for n in range(9)], "clip_id string, t long, n int, s double")
+    table = spark.createDataFrame([("k", i, a, b) for i, (a, b) in enumerate(spans)], "clip_id string, n int, on_f int, off_f int")
+    got = align.measures(sims, spans)
+    for name in ("confidence", "determinacy", "monotonicity"):
+        assert getattr(metrics, name)(cells, table).first()[1] == pytest.approx(got[name], abs=1e-9), name
+
+
+def test_owners_are_inherited_from_a_first_pass(spark):
+    tier = lambda name, *rows: [("k", name, i + 1, float(a), float(b), s) for i, (a, b, s) in enumerate(rows)]
+    rows = tier("texts", (0, 1, ""), (1, 3, "good day"), (3, 5, "end")) + tier("words", (0, 1, ""), (1, 2, "good"), (2, 3, "day"), (3, 4, ""), (4, 5, "end"))
+    rows += tier("phones", (0, 1, "SP"), (1, 1.5, "g"), (1.5, 2, "u"), (2, 3, "d"), (3, 4, "SP"), (4, 5, "e")) + [("other", "phones", 1, 0.0, 1.0, "a")]
+    got = align.inherit_owners(spark.createDataFrame(rows, "clip_id string, tier string, ord int, xmin double, xmax double, text string"), ["SP"]).orderBy("n").collect()
+    assert [tuple(r) for r in got] == [("k", 0, "g", 1, 1, "good day", "good"), ("k", 1, "u", 1, 1, "good day", "good"), ("k", 2, "d", 1, 2, "good day", "day"), ("k", 3, "e", 2, 3, "end", "end")]
