@@ -168,13 +168,55 @@ def block_pairs(members: DataFrame, few: int, heads: int, turn: int) -> DataFram
     return pairs.unionByName(met.select(F.least("rk", "h.rk").alias("a"), F.greatest("rk", "h.rk").alias("b"))).distinct()
 
 
+def outsider_pairs(blocks: DataFrame, few: int, over: int) -> tuple[DataFrame, DataFrame]:
+    """Candidate pairs (a, b), a < b, across groups, and the rows of the blocks that are still to be split.
+
+    blocks: (c, key, rk, fp, group). Blocks of up to ``over`` members are left out. Where at most ``few`` members lie outside a block's
+    largest group, each of these meets every member of another group, so the block is exact and its work linear."""
+    sizes = blocks.groupBy("c", "key", "group").agg(F.count("*").alias("n")).groupBy("c", "key").agg(F.sum("n").alias("all"), F.max(F.struct("n", "group")).alias("m"))
+    mixed = sizes.filter((F.col("all") > over) & (F.col("all") > F.col("m.n"))).select("c", "key", F.col("m.group").alias("largest"), (F.col("all") - F.col("m.n")).alias("outside"))
+    here = mixed.filter(F.col("outside") <= few)
+    outsiders = blocks.join(here, ["c", "key"]).filter("group <> largest").groupBy("c", "key").agg(F.collect_list(F.struct("rk", "fp", "group")).alias("o"))
+    near = F.expr(f"filter(o, y -> y.group <> group and bit_count(fp ^ y.fp) <= {FAR})")
+    met = blocks.join(outsiders, ["c", "key"]).select("rk", F.explode(near).alias("y"))
+    pairs = met.select(F.least("rk", "y.rk").alias("a"), F.greatest("rk", "y.rk").alias("b")).distinct()
+    return pairs, blocks.join(mixed.filter(F.col("outside") > few).select("c", "key"), ["c", "key"])
+
+
+def rest_of_large_blocks(keyed: DataFrame, comps: DataFrame, few: int) -> DataFrame:
+    """Candidate pairs (a, b) that the heads of large blocks did not meet.
+
+    Blocks with more than ``few`` outsiders are split by a second shared block, then by a third and so on, until
+    none is left: a pair that shares another block meets there."""
+    blocks = keyed.join(comps, keyed.rk == comps.node, "left").select("c", "key", "rk", "fp", F.coalesce("component", "rk").alias("group"))
+    pairs, open_blocks = outsider_pairs(blocks, few, few)
+    pairs, wide = stored(pairs), stored(open_blocks)
+    now = wide
+    for _ in range(BLOCKS - 1):
+        if now.isEmpty():
+            break
+        second = wide.select("rk", F.col("c").alias("c2"), F.col("key").alias("key2"))
+        split = now.join(second, "rk").filter("c2 > c").select(F.col("c2").alias("c"), F.xxhash64("c", "key", "c2", "key2").alias("key"), "rk", "fp", "group")
+        more, open_blocks = outsider_pairs(stored(split), few, 1)
+        pairs, now = pairs.unionByName(stored(more)), stored(open_blocks)
+    return pairs.distinct()
+
+
+def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose shingle sets (rk, shingles) have the given similarity or more."""
+    both = F.size(F.array_intersect("x", "y"))
+    sided = pairs.join(sets.select(F.col("rk").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("rk").alias("b"), F.col("shingles").alias("y")), "b")
+    return sided.filter(both >= similarity * (F.size("x") + F.size("y") - both)).select("a", "b")
+
+
 def near_duplicate_groups(docs: DataFrame, words_per_shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", few: int = 96, heads: int = 12) -> DataFrame:
     """Rows (rk, id, keeper, copies) for each distinct (id, text): whether it is the one of its group that stays (the
     least id), and how many rows repeat it. Groups are the components of links of ``similarity`` or more.
 
     Equal texts are one class from the start (its least id stands for it). Classes that share a block are compared as
     ``block_pairs`` says. What the heads of a large block miss is looked for in further rounds with other heads, in
-    which one class stands for all of its component, until a round adds no link.
+    which one class stands for all of its component, until a round adds no link; then ``rest_of_large_blocks``
+    compares what is left.
     """
     rows = stored(with_shingles(docs, words_per_shingle, id_col, text_col))
     texts = rows.groupBy("text_key").agg(F.min(F.struct(F.col("id").isNull().alias("null"), "id", "rk")).alias("m"))
@@ -196,14 +238,18 @@ def near_duplicate_groups(docs: DataFrame, words_per_shingle: int = 5, similarit
             pairs = pairs.join(compared, ["a", "b"], "left_anti")
         pairs = stored(pairs)
         compared = pairs if compared is None else compared.unionByName(pairs)
-        links = pairs.join(sets.select(F.col("rk").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("rk").alias("b"), F.col("shingles").alias("y")), "b")
-        both = F.size(F.array_intersect("x", "y"))
-        links = stored(links.filter(both >= similarity * (F.size("x") + F.size("y") - both)).select("a", "b"))
+        links = stored(similar(pairs, sets, similarity))
         if links.isEmpty():
             break
         found = links if found is None else found.unionByName(links)
         comps = stored(components(found))
         turn += 1
+    alone = keyed.select(F.col("rk").alias("node"), F.col("rk").alias("component")).limit(0)
+    rest = rest_of_large_blocks(keyed, alone if comps is None else comps, few).join(compared, ["a", "b"], "left_anti")
+    links = stored(similar(rest, sets, similarity))
+    if not links.isEmpty():
+        found = links if found is None else found.unionByName(links)
+        comps = stored(components(found))
     grouped = texts.select("rk", "id", F.col("rk").alias("group"))
     if comps is not None:
         grouped = texts.join(comps, texts.rk == comps.node, "left").select("rk", "id", F.coalesce("component", "rk").alias("group"))
