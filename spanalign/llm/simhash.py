@@ -168,38 +168,46 @@ def block_pairs(members: DataFrame, few: int, heads: int, turn: int) -> DataFram
     return pairs.unionByName(met.select(F.least("rk", "h.rk").alias("a"), F.greatest("rk", "h.rk").alias("b"))).distinct()
 
 
-def outsider_pairs(blocks: DataFrame, few: int, over: int) -> tuple[DataFrame, DataFrame]:
-    """Candidate pairs (a, b), a < b, across groups, and the rows of the blocks that are still to be split.
+def outsider_links(blocks: DataFrame, sets: DataFrame, few: int, over: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) across groups, and the rows of the blocks that are still to be split.
 
     blocks: (c, key, rk, fp, group). Blocks of up to ``over`` members are left out. Where at most ``few`` members lie outside a block's
-    largest group, each of these meets every member of another group, so the block is exact and its work linear."""
+    largest group, each of these is compared with every member of another group: Hamming distance, then shingle sets, before
+    any row is made, and in the first block that a pair shares; so the block is exact and its shuffle linear. One link for an outsider and a group is enough."""
     sizes = blocks.groupBy("c", "key", "group").agg(F.count("*").alias("n")).groupBy("c", "key").agg(F.sum("n").alias("all"), F.max(F.struct("n", "group")).alias("m"))
     mixed = sizes.filter((F.col("all") > over) & (F.col("all") > F.col("m.n"))).select("c", "key", F.col("m.group").alias("largest"), (F.col("all") - F.col("m.n")).alias("outside"))
-    here = mixed.filter(F.col("outside") <= few)
-    outsiders = blocks.join(here, ["c", "key"]).filter("group <> largest").groupBy("c", "key").agg(F.collect_list(F.struct("rk", "fp", "group")).alias("o"))
-    near = F.expr(f"filter(o, y -> y.group <> group and bit_count(fp ^ y.fp) <= {FAR})")
-    met = blocks.join(outsiders, ["c", "key"]).select("rk", F.explode(near).alias("y"))
-    pairs = met.select(F.least("rk", "y.rk").alias("a"), F.greatest("rk", "y.rk").alias("b")).distinct()
-    return pairs, blocks.join(mixed.filter(F.col("outside") > few).select("c", "key"), ["c", "key"])
-
-
-def rest_of_large_blocks(keyed: DataFrame, comps: DataFrame, few: int) -> DataFrame:
-    """Candidate pairs (a, b) that the heads of large blocks did not meet.
+    here = blocks.join(mixed.filter(F.col("outside") <= few), ["c", "key"])
+    own = here.groupBy("rk").agg(F.collect_set(F.struct("c", "key")).alias("own")).join(sets, "rk")
+    here = here.join(own, "rk")
+    outsiders = here.filter("group <> largest").groupBy("c", "key").agg(F.collect_list(F.struct("rk", "fp", "group", "own", "shingles")).alias("o"))
+    near = F.expr(
+        f"filter(o, y -> y.group <> group and bit_count(fp ^ y.fp) <= {FAR} "
+        "and not exists(own, m -> m < struct(c, key) and array_contains(y.own, m)) "
+        f"and size(array_intersect(shingles, y.shingles)) * {1 + similarity} >= {similarity} * (size(shingles) + size(y.shingles)) - 1e-6)"
+    )
+    met = here.join(outsiders, ["c", "key"]).select("rk", "group", F.explode(near).alias("y"))
+    links = met.groupBy(F.col("y.rk").alias("o"), "group").agg(F.min("rk").alias("rk"))
+    links = links.select(F.least("o", "rk").alias("a"), F.greatest("o", "rk").alias("b")).distinct()
+    return links, blocks.join(mixed.filter(F.col("outside") > few).select("c", "key"), ["c", "key"])
+
+
+def rest_of_large_blocks(keyed: DataFrame, comps: DataFrame, sets: DataFrame, few: int, similarity: float) -> DataFrame:
+    """Links (a, b) that the heads of large blocks did not find.
 
     Blocks with more than ``few`` outsiders are split by a second shared block, then by a third and so on, until
     none is left: a pair that shares another block meets there."""
     blocks = keyed.join(comps, keyed.rk == comps.node, "left").select("c", "key", "rk", "fp", F.coalesce("component", "rk").alias("group"))
-    pairs, open_blocks = outsider_pairs(blocks, few, few)
-    pairs, wide = stored(pairs), stored(open_blocks)
+    links, open_blocks = outsider_links(blocks, sets, few, few, similarity)
+    links, wide = stored(links), stored(open_blocks)
     now = wide
     for _ in range(BLOCKS - 1):
         if now.isEmpty():
             break
         second = wide.select("rk", F.col("c").alias("c2"), F.col("key").alias("key2"))
         split = now.join(second, "rk").filter("c2 > c").select(F.col("c2").alias("c"), F.xxhash64("c", "key", "c2", "key2").alias("key"), "rk", "fp", "group")
-        more, open_blocks = outsider_pairs(stored(split), few, 1)
-        pairs, now = pairs.unionByName(stored(more)), stored(open_blocks)
-    return pairs.distinct()
+        more, open_blocks = outsider_links(stored(split), sets, few, 1, similarity)
+        links, now = links.unionByName(stored(more)), stored(open_blocks)
+    return links.distinct()
 
 
 def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -245,7 +253,7 @@ def near_duplicate_groups(docs: DataFrame, words_per_shingle: int = 5, similarit
         comps = stored(components(found))
         turn += 1
     alone = keyed.select(F.col("rk").alias("node"), F.col("rk").alias("component")).limit(0)
-    rest = rest_of_large_blocks(keyed, alone if comps is None else comps, few).join(compared, ["a", "b"], "left_anti")
+    rest = rest_of_large_blocks(keyed, alone if comps is None else comps, sets, few, similarity)
     links = stored(similar(rest, sets, similarity))
     if not links.isEmpty():
         found = links if found is None else found.unionByName(links)
