@@ -34,6 +34,8 @@ from .components import components
 BLOCKS, SAMPLED = 12, 3
 #: No pair of similarity 0.8 is expected beyond this distance (mean 9.7, deviation 2.9).
 FAR = 26
+#: Residue classes in which shingles are counted.
+CLASSES = 1 << 18
 
 
 def shingle_hashes(text: str | None, words_per_shingle: int, seed: int = 42) -> np.ndarray:
@@ -168,14 +170,14 @@ def block_pairs(members: DataFrame, few: int, heads: int, turn: int) -> DataFram
     return pairs.unionByName(met.select(F.least("rk", "h.rk").alias("a"), F.greatest("rk", "h.rk").alias("b"))).distinct()
 
 
-def outsider_links(blocks: DataFrame, sets: DataFrame, few: int, over: int, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """Links (a, b) across groups, and the rows of the blocks that are still to be split.
+def outsider_links(blocks: DataFrame, sets: DataFrame, few: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) across groups, and the rows of the blocks with more than ``few`` members outside their largest group.
 
-    blocks: (c, key, rk, fp, group). Blocks of up to ``over`` members are left out. Where at most ``few`` members lie outside a block's
+    blocks: (c, key, rk, fp, group). Blocks of up to ``few`` members are left out. Where at most ``few`` members lie outside a block's
     largest group, each of these is compared with every member of another group: Hamming distance, then shingle sets, before
     any row is made, and in the first block that a pair shares; so the block is exact and its shuffle linear. One link for an outsider and a group is enough."""
     sizes = blocks.groupBy("c", "key", "group").agg(F.count("*").alias("n")).groupBy("c", "key").agg(F.sum("n").alias("all"), F.max(F.struct("n", "group")).alias("m"))
-    mixed = sizes.filter((F.col("all") > over) & (F.col("all") > F.col("m.n"))).select("c", "key", F.col("m.group").alias("largest"), (F.col("all") - F.col("m.n")).alias("outside"))
+    mixed = sizes.filter((F.col("all") > few) & (F.col("all") > F.col("m.n"))).select("c", "key", F.col("m.group").alias("largest"), (F.col("all") - F.col("m.n")).alias("outside"))
     here = blocks.join(mixed.filter(F.col("outside") <= few), ["c", "key"])
     own = here.groupBy("rk").agg(F.collect_set(F.struct("c", "key")).alias("own")).join(sets, "rk")
     here = here.join(own, "rk")
@@ -191,23 +193,127 @@ def outsider_links(blocks: DataFrame, sets: DataFrame, few: int, over: int, simi
     return links, blocks.join(mixed.filter(F.col("outside") > few).select("c", "key"), ["c", "key"])
 
 
+def rarest_shingles(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Rows (shingle, rk, group, size, place): the rarest shingles of each member (rk, group), enough of them that two sets
+    of ``similarity`` or more have one in common.
+
+    Any order of the shingles that is the same for all sets will do for that; here they are ordered by the count of
+    their residue class (a table of fixed size, so a frequent shingle comes late), then by value."""
+    held = members.join(sets, "rk").select("rk", "group", "shingles")
+
+    def count(batches):
+        import pyarrow as pa
+
+        n = np.zeros(CLASSES, np.int64)
+        for batch in batches:
+            n += np.bincount(batch.column(0).flatten().to_numpy(zero_copy_only=False) & (CLASSES - 1), minlength=CLASSES)
+        (some,) = np.nonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], ["k", "n"])
+
+    counted = held.select("shingles").mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toPandas()
+    often = np.zeros(CLASSES, np.int64)
+    often[counted.k.to_numpy(np.int64)] = counted.n.to_numpy(np.int64)
+    sent = members.sparkSession.sparkContext.broadcast(often)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            firsts, sizes, taken = [], [], []
+            for x in batch.column(2):
+                v = x.values.to_numpy(zero_copy_only=False)
+                most = len(v) - int(np.ceil(similarity * len(v) - 1e-6)) + 1
+                firsts.append(v[np.lexsort((v, sent.value[v & (CLASSES - 1)]))[:most]])
+                sizes.append(len(v))
+                taken.append(len(firsts[-1]))
+            if not taken:
+                continue
+            row = np.repeat(np.arange(len(taken)), taken)
+            place = np.arange(len(row)) - np.repeat(np.cumsum(taken) - taken, taken)
+            columns = [pa.array(np.concatenate(firsts)), batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(np.asarray(sizes, np.int32)[row]), pa.array(place.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, ["shingle", "rk", "group", "size", "place"])
+
+    return held.mapInArrow(run, "shingle int, rk long, group long, size int, place int")
+
+
+def pairs_at(x: dict[str, np.ndarray], similarity: float, short: int = 64, wide: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (a, b) of rows of different groups with the same shingle, in rows ordered by shingle.
+
+    The shingles after a common one bound what two sets can share: pairs that stay below ``similarity`` even so go.
+    Runs of a shingle of over ``short`` rows compare each row outside the run's largest group with all of the run."""
+
+    def near(p, q):
+        least = np.ceil(similarity / (1 + similarity) * (x["size"][p].astype(np.int64) + x["size"][q]) - 1e-6)
+        return (x["group"][p] != x["group"][q]) & (np.minimum(left[p], left[q]) >= least)
+
+    n, left = len(x["shingle"]), x["size"] - x["place"]
+    start = np.flatnonzero(np.r_[True, x["shingle"][1:] != x["shingle"][:-1]]) if n else np.zeros(0, np.int64)
+    length = np.diff(np.r_[start, n])
+    after = np.repeat(start + length, length) - np.arange(n)
+    at = np.flatnonzero(np.repeat(length <= short, length))
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    for k in range(1, short):
+        at = at[after[at] > k]
+        if not len(at):
+            break
+        p = at[near(at, at + k)]
+        found.append((p, p + k))
+    for s, m in zip(start[length > short], length[length > short], strict=True):
+        group, each = np.unique(x["group"][s : s + m], return_counts=True)
+        outside = s + np.flatnonzero(x["group"][s : s + m] != group[each.argmax()])
+        step = max(1, wide // int(m))
+        for i in range(0, len(outside), step):
+            p, q = np.nonzero(near(outside[i : i + step, None], np.arange(s, s + m)[None]))
+            found.append((outside[i + p], s + q))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    a, b = (x["rk"][np.concatenate(side)] for side in zip(*found, strict=True))
+    return np.minimum(a, b), np.maximum(a, b)
+
+
+def rare_shingle_pairs(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of members (rk, group) of different groups; all of ``similarity`` or more are among them."""
+    names = ["shingle", "rk", "group", "size", "place"]
+
+    def run(batches):
+        import pyarrow as pa
+
+        held: list[dict[str, np.ndarray]] = []
+
+        def flush():
+            x = {c: np.concatenate([h[c] for h in held]) for c in names}
+            held.clear()
+            a, b = np.unique(np.stack(pairs_at(x, similarity)), axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = {c: batch.column(i).to_numpy(zero_copy_only=False) for i, c in enumerate(names)}
+            last = int(np.searchsorted(x["shingle"], x["shingle"][-1]))
+            if held and (last or held[-1]["shingle"][-1] != x["shingle"][0]):
+                held.append({c: v[:last] for c, v in x.items()})
+                yield flush()
+                x = {c: v[last:] for c, v in x.items()}
+            held.append(x)
+        if held:
+            yield flush()
+
+    rare = rarest_shingles(members, sets, similarity).repartition("shingle").sortWithinPartitions("shingle")
+    return rare.mapInArrow(run, "a long, b long").distinct()
+
+
 def rest_of_large_blocks(keyed: DataFrame, comps: DataFrame, sets: DataFrame, few: int, similarity: float) -> DataFrame:
-    """Links (a, b) that the heads of large blocks did not find.
+    """Pairs (a, b) across groups that the heads of large blocks may have missed, still to be verified.
 
-    Blocks with more than ``few`` outsiders are split by a second shared block, then by a third and so on, until
-    none is left: a pair that shares another block meets there."""
+    Blocks with up to ``few`` outsiders are compared as ``outsider_links`` says. The members of all wider blocks are
+    joined by their rarest shingles, so none of their pairs is lost, whatever blocks it shares."""
     blocks = keyed.join(comps, keyed.rk == comps.node, "left").select("c", "key", "rk", "fp", F.coalesce("component", "rk").alias("group"))
-    links, open_blocks = outsider_links(blocks, sets, few, few, similarity)
-    links, wide = stored(links), stored(open_blocks)
-    now = wide
-    for _ in range(BLOCKS - 1):
-        if now.isEmpty():
-            break
-        second = wide.select("rk", F.col("c").alias("c2"), F.col("key").alias("key2"))
-        split = now.join(second, "rk").filter("c2 > c").select(F.col("c2").alias("c"), F.xxhash64("c", "key", "c2", "key2").alias("key"), "rk", "fp", "group")
-        more, open_blocks = outsider_links(stored(split), sets, few, 1, similarity)
-        links, now = links.unionByName(stored(more)), stored(open_blocks)
-    return links.distinct()
+    links, wide = outsider_links(blocks, sets, few, similarity)
+    links, wide = stored(links), stored(wide.select("rk", "group").distinct())
+    if wide.isEmpty():
+        return links
+    return links.unionByName(rare_shingle_pairs(wide, sets, similarity)).distinct()
 
 
 def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:

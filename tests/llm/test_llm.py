@@ -161,6 +161,39 @@ def test_near_duplicates(spark, odd, none):
     assert simhash.drop_near_duplicates(none).count() == 0
 
 
+def test_near_duplicates_with_a_shared_passage(spark):
+    rng = random.Random(8)
+    words = lambda n: ["".join(rng.choices("abcdefgh", k=6)) for _ in range(n)]
+    passage, rows = words(204), []
+    for i in range(1800):  # 0.67 alike, all of it the passage
+        rows.append((i, " ".join(passage + words(50))))
+    for i in range(200):  # pairs 0.8 to 0.85 alike
+        own = words(50)
+        rows += [(10_000 + 2 * i, " ".join(passage + own)), (10_001 + 2 * i, " ".join(passage + own[: 26 + i % 5] + words(24 - i % 5)))]
+    sets = {i: set(zip(*(t.split()[k:] for k in range(5)), strict=False)) for i, t in rows}
+    assert all(len(sets[i] & sets[i + 1]) >= 0.8 * len(sets[i] | sets[i + 1]) for i in range(10_000, 10_400, 2))
+    assert len(sets[0] & sets[1]) < 0.7 * len(sets[0] | sets[1])
+    got = [r.doc_id for r in simhash.drop_near_duplicates(docs_of(spark, rows)).collect()]
+    assert sorted(got) == [*range(1800), *range(10_000, 10_400, 2)]
+
+
+def test_pairs_at_brute_force():
+    rng = random.Random(4)
+    for t, short in ((0.8, 64), (0.8, 3), (0.5, 2)):
+        base = [frozenset(rng.sample(range(60), rng.randint(1, 25))) for _ in range(20)]
+        docs = [frozenset(x for x in rng.choice(base) if rng.random() < 0.93) | {rng.randrange(60)} for _ in range(150)]
+        group = [rng.choice([7, i]) for i in range(150)]
+        often = [sum(s in d for d in docs) for s in range(60)]
+        rows = []
+        for i, d in enumerate(docs):
+            first = sorted(d, key=lambda s: (often[s], s))[: len(d) - int(np.ceil(t * len(d) - 1e-6)) + 1]
+            rows += [(s, i, group[i], len(d), k) for k, s in enumerate(first)]
+        x = dict(zip(("shingle", "rk", "group", "size", "place"), np.array(sorted(rows)).T, strict=True))
+        got = set(zip(*(v.tolist() for v in simhash.pairs_at(x, t, short)), strict=True))
+        want = {(i, j) for j in range(150) for i in range(j) if group[i] != group[j] and len(docs[i] & docs[j]) >= t * len(docs[i] | docs[j])}
+        assert want <= got and all(group[i] != group[j] for i, j in got)
+
+
 def test_sharding(spark, odd, none):
     df = spark.range(5000).select(F.col("id").alias("doc_id"), F.concat(F.lit("é"), "id").alias("text"), F.lit(1).alias("slot"))
     got = sharding.shards(df).collect()
