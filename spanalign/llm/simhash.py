@@ -11,8 +11,8 @@ within two bits of each other, and the least of them links them. So no link is l
 that similarity about ten of 64 bits differ, for which blocks of one fingerprint would be too short to select; so the
 fingerprint has twelve 64-bit blocks, each the SimHash (bitwise majority) of three shingles, the least under the
 block's own hash of the document's shingles. Documents of similarity s share a given block with a chance near s**3, so
-at 0.8 they share at least one with a chance of 0.9998. Pairs that share a block are verified twice: Hamming distance
-of the whole-text fingerprints, then the exact similarity of the shingle sets.
+at 0.8 they share at least one with a chance of 0.9998. Pairs that share a block are verified by the exact similarity
+of the shingle sets.
 
 Defined results: a null text is an empty one; texts without words have fingerprint zero and are linked like any other;
 texts of fewer words than a shingle are one shingle; very long texts are hashed whole; a null id never names a
@@ -32,8 +32,6 @@ from .common import stored
 from .components import components
 
 BLOCKS, SAMPLED = 12, 3
-#: No pair of similarity 0.8 is expected beyond this distance (mean 9.7, deviation 2.9).
-FAR = 26
 #: Residue classes in which shingles are counted.
 CLASSES = 1 << 18
 
@@ -127,7 +125,7 @@ def sampled_blocks(hashes: np.ndarray) -> list[int]:
 
 
 def with_shingles(docs: DataFrame, words_per_shingle: int, id_col: str, text_col: str) -> DataFrame:
-    """Rows (rk, id, text_key, fp, blocks, shingles): rk tells rows of different id or text apart; shingles is the
+    """Rows (rk, id, text_key, blocks, shingles): rk tells rows of different id or text apart; shingles is the
     set of 32-bit shingle hashes."""
 
     def run(batches):
@@ -135,19 +133,18 @@ def with_shingles(docs: DataFrame, words_per_shingle: int, id_col: str, text_col
         from xxhash import xxh3_128_hexdigest
 
         for batch in batches:
-            keys, fps, blocks, sets = [], [], [], []
+            keys, blocks, sets = [], [], []
             for x in batch.column(2):
                 text = x.as_py() or ""
                 h = shingle_hashes(text, words_per_shingle)
                 keys.append(xxh3_128_hexdigest(text.encode()))
-                fps.append(signed(fingerprint(h)))
                 h = np.unique(h) if len(h) else np.zeros(1, np.uint64)
                 blocks.append(sampled_blocks(h))
                 sets.append(np.unique((h >> np.uint64(32)).astype(np.uint32)).view(np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys), pa.array(fps, pa.int64()), pa.array(blocks, pa.list_(pa.int64())), pa.array(sets, pa.list_(pa.int32()))], ["rk", "id", "text_key", "fp", "blocks", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys), pa.array(blocks, pa.list_(pa.int64())), pa.array(sets, pa.list_(pa.int32()))], ["rk", "id", "text_key", "blocks", "shingles"])
 
     picked = docs.select(row_key(id_col, text_col).alias("rk"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return picked.mapInArrow(run, "rk long, id long, text_key string, fp long, blocks array<long>, shingles array<int>")
+    return picked.mapInArrow(run, "rk long, id long, text_key string, blocks array<long>, shingles array<int>")
 
 
 def row_key(id_col: str, text_col: str) -> Column:
@@ -155,35 +152,34 @@ def row_key(id_col: str, text_col: str) -> Column:
 
 
 def block_pairs(members: DataFrame, few: int, heads: int, turn: int) -> DataFrame:
-    """Candidate pairs (a, b), a < b, among members (c, key, rk, fp) of shared blocks, Hamming distance verified.
+    """Candidate pairs (a, b), a < b, among members (c, key, rk) of shared blocks.
 
     Members of small blocks are paired with each other. In a large block each member meets ``heads`` members: the
     least of each residue class of a hash that changes with ``turn``."""
     residue = F.pmod(F.xxhash64("rk", F.lit(turn)), F.lit(heads))
-    first = [F.min(F.when(residue == i, F.struct("rk", "fp"))) for i in range(heads)]
+    first = [F.min(F.when(residue == i, F.col("rk"))) for i in range(heads)]
     shared = members.groupBy("c", "key").agg(F.count("*").alias("n"), F.array_compact(F.array(*first)).alias("h")).filter("n > 1")
-    small = members.join(shared.filter(F.col("n") <= few).select("c", "key"), ["c", "key"]).groupBy("c", "key").agg(F.array_sort(F.collect_list(F.struct("rk", "fp"))).alias("f"))
-    near = F.expr(f"flatten(transform(f, (x, i) -> transform(filter(slice(f, i + 2, size(f)), y -> bit_count(x.fp ^ y.fp) <= {FAR}), y -> struct(x.rk as a, y.rk as b))))")
+    small = members.join(shared.filter(F.col("n") <= few).select("c", "key"), ["c", "key"]).groupBy("c", "key").agg(F.array_sort(F.collect_list("rk")).alias("f"))
+    near = F.expr("flatten(transform(f, (x, i) -> transform(slice(f, i + 2, size(f)), y -> struct(x as a, y as b))))")
     pairs = small.select(F.explode(near).alias("p")).select("p.*")
-    met = members.join(shared.filter(F.col("n") > few).select("c", "key", "h"), ["c", "key"]).select("rk", "fp", F.explode("h").alias("h"))
-    met = met.filter((F.col("h.rk") != F.col("rk")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("h.fp"))) <= FAR))
-    return pairs.unionByName(met.select(F.least("rk", "h.rk").alias("a"), F.greatest("rk", "h.rk").alias("b"))).distinct()
+    met = members.join(shared.filter(F.col("n") > few).select("c", "key", "h"), ["c", "key"]).select("rk", F.explode("h").alias("h")).filter("h <> rk")
+    return pairs.unionByName(met.select(F.least("rk", "h").alias("a"), F.greatest("rk", "h").alias("b"))).distinct()
 
 
 def outsider_links(blocks: DataFrame, sets: DataFrame, few: int, similarity: float) -> tuple[DataFrame, DataFrame]:
     """Links (a, b) across groups, and the rows of the blocks with more than ``few`` members outside their largest group.
 
-    blocks: (c, key, rk, fp, group). Blocks of up to ``few`` members are left out. Where at most ``few`` members lie outside a block's
-    largest group, each of these is compared with every member of another group: Hamming distance, then shingle sets, before
+    blocks: (c, key, rk, group). Blocks of up to ``few`` members are left out. Where at most ``few`` members lie outside a block's
+    largest group, each of these is compared with every member of another group: their shingle sets, before
     any row is made, and in the first block that a pair shares; so the block is exact and its shuffle linear. One link for an outsider and a group is enough."""
     sizes = blocks.groupBy("c", "key", "group").agg(F.count("*").alias("n")).groupBy("c", "key").agg(F.sum("n").alias("all"), F.max(F.struct("n", "group")).alias("m"))
     mixed = sizes.filter((F.col("all") > few) & (F.col("all") > F.col("m.n"))).select("c", "key", F.col("m.group").alias("largest"), (F.col("all") - F.col("m.n")).alias("outside"))
     here = blocks.join(mixed.filter(F.col("outside") <= few), ["c", "key"])
     own = here.groupBy("rk").agg(F.collect_set(F.struct("c", "key")).alias("own")).join(sets, "rk")
     here = here.join(own, "rk")
-    outsiders = here.filter("group <> largest").groupBy("c", "key").agg(F.collect_list(F.struct("rk", "fp", "group", "own", "shingles")).alias("o"))
+    outsiders = here.filter("group <> largest").groupBy("c", "key").agg(F.collect_list(F.struct("rk", "group", "own", "shingles")).alias("o"))
     near = F.expr(
-        f"filter(o, y -> y.group <> group and bit_count(fp ^ y.fp) <= {FAR} "
+        "filter(o, y -> y.group <> group "
         "and not exists(own, m -> m < struct(c, key) and array_contains(y.own, m)) "
         f"and size(array_intersect(shingles, y.shingles)) * {1 + similarity} >= {similarity} * (size(shingles) + size(y.shingles)) - 1e-6)"
     )
@@ -308,7 +304,7 @@ def rest_of_large_blocks(keyed: DataFrame, comps: DataFrame, sets: DataFrame, fe
 
     Blocks with up to ``few`` outsiders are compared as ``outsider_links`` says. The members of all wider blocks are
     joined by their rarest shingles, so none of their pairs is lost, whatever blocks it shares."""
-    blocks = keyed.join(comps, keyed.rk == comps.node, "left").select("c", "key", "rk", "fp", F.coalesce("component", "rk").alias("group"))
+    blocks = keyed.join(comps, keyed.rk == comps.node, "left").select("c", "key", "rk", F.coalesce("component", "rk").alias("group"))
     links, wide = outsider_links(blocks, sets, few, similarity)
     links, wide = stored(links), stored(wide.select("rk", "group").distinct())
     if wide.isEmpty():
@@ -335,9 +331,9 @@ def near_duplicate_groups(docs: DataFrame, words_per_shingle: int = 5, similarit
     rows = stored(with_shingles(docs, words_per_shingle, id_col, text_col))
     texts = rows.groupBy("text_key").agg(F.min(F.struct(F.col("id").isNull().alias("null"), "id", "rk")).alias("m"))
     texts = stored(texts.select("text_key", F.col("m.rk").alias("rk"), F.col("m.id").alias("id")))
-    classes = rows.join(texts.select("rk"), "rk", "left_semi").groupBy("rk").agg(F.first("fp").alias("fp"), F.first("blocks").alias("blocks"), F.first("shingles").alias("shingles"))
+    classes = rows.join(texts.select("rk"), "rk", "left_semi").groupBy("rk").agg(F.first("blocks").alias("blocks"), F.first("shingles").alias("shingles"))
     classes = stored(classes)
-    keyed = classes.select("rk", "fp", F.posexplode("blocks").alias("c", "key"))
+    keyed = classes.select("rk", F.posexplode("blocks").alias("c", "key"))
     keyed = stored(keyed.join(keyed.groupBy("c", "key").agg(F.count("*").alias("n")).filter("n > 1").select("c", "key"), ["c", "key"]))
     sets = classes.select("rk", "shingles")
     found = comps = compared = None
@@ -346,7 +342,7 @@ def near_duplicate_groups(docs: DataFrame, words_per_shingle: int = 5, similarit
         members = keyed
         if comps is not None:
             grouped = keyed.join(comps, keyed.rk == comps.node, "left").select(keyed["*"], F.coalesce("component", "rk").alias("group"))
-            members = grouped.groupBy("c", "key", "group").agg(F.min(F.struct("rk", "fp")).alias("m")).select("c", "key", "m.*")
+            members = grouped.groupBy("c", "key", "group").agg(F.min("rk").alias("rk")).select("c", "key", "rk")
         pairs = block_pairs(members, few, heads, turn)
         if compared is not None:
             pairs = pairs.join(compared, ["a", "b"], "left_anti")

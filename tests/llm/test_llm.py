@@ -177,6 +177,16 @@ def test_near_duplicates_with_a_shared_passage(spark):
     assert sorted(got) == [*range(1800), *range(10_000, 10_400, 2)]
 
 
+def test_near_duplicates_that_repeat_a_line(spark):
+    rng = random.Random(6)
+    words = lambda n: ["".join(rng.choices("abcdefgh", k=6)) for _ in range(n)]
+    rows = []
+    for i in range(30):
+        text, line = words(300), words(11)
+        rows += [(2 * i, " ".join(text + line)), (2 * i + 1, " ".join(text + line * 300))]
+    assert sorted(r.doc_id for r in simhash.drop_near_duplicates(docs_of(spark, rows)).collect()) == list(range(0, 60, 2))
+
+
 def test_pairs_at_brute_force():
     rng = random.Random(4)
     for t, short in ((0.8, 64), (0.8, 3), (0.5, 2)):
