@@ -9,12 +9,13 @@ of tokens, and evidence still reaches all repeats.) Labels of base spans are fix
 over the document, and tokens whose marginal reaches ``sure`` become spans of their own, cut clear of base spans.
 
 Weights are trained on the driver by pseudo-likelihood, with base spans as labels, on at most ``sample`` documents (those
-with the least hash of their id; documented bound). Detection reads all documents, without a shuffle; graphs of many
+with the least hash of their id; documented bound). Where fewer than a tenth of them hold a base span, that tenth is
+drawn, in the same order, from all documents that do. Detection reads all documents, without a shuffle; graphs of many
 documents are run at once, a slice of tokens at a time.
 
 Defined results: null and empty texts have no spans; texts of any length are searched whole, in linear time (long runs of
-digits or word characters too); repeated rows get equal spans; without any base span in the sample the field adds
-nothing; an empty table gives no rows; other columns are not read. Offsets count code points, end exclusive.
+digits or word characters too); repeated rows get equal spans; without any base span in the documents the field
+adds nothing; an empty table gives no rows; other columns are not read. Offsets count code points, end exclusive.
 """
 
 from __future__ import annotations
@@ -269,10 +270,30 @@ def find_spans(texts: list[str | None], field: Field | None, sure: float = 0.95,
 
 
 def train(docs: DataFrame, sample: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> Field | None:
-    """The field, from at most ``sample`` documents."""
+    """The field, from at most ``sample`` documents; none only where no document holds a base span."""
     ids = docs.select(F.col(id_col).alias("id")).filter("id is not null").distinct().orderBy(F.xxhash64("id"), "id").limit(sample)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "id").filter("text is not null").orderBy(F.xxhash64("id"), "id", F.xxhash64("text")).limit(sample).collect()
-    return train_field([nodes_of(r.text, base_spans(r.text)) for r in rows])
+    found = [(r.text, base_spans(r.text)) for r in rows]
+    least = max(1, sample // 10)
+    if sum(1 for _, base in found if base) < least:
+        held = holders(docs, least, id_col, text_col)
+        found = [(t, base_spans(t)) for t in held] + [x for x in found if not x[1]][: sample - len(held)]
+    return train_field([nodes_of(t, base) for t, base in found])
+
+
+def holders(docs: DataFrame, most: int, id_col: str, text_col: str) -> list[str]:
+    """At most ``most`` texts that hold a base span, those with the least hash of their id."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            found = pa.array([bool(base_spans(x.as_py())) for x in batch.column(2)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(found), batch.column(1).filter(found)], ["h", "t"])
+
+    rows = docs.select(F.xxhash64(F.col(id_col)).alias("h"), F.xxhash64(F.col(text_col)).alias("t"), F.col(text_col).alias("text")).filter("text is not null")
+    keys = rows.mapInArrow(run, "h long, t long").distinct().orderBy("h", "t").limit(most)  # keys only: a task sends few bytes
+    return [r.text for r in rows.join(F.broadcast(keys), ["h", "t"]).orderBy("h", "t").limit(most).collect()]
 
 
 def detect(docs: DataFrame, field: Field | None, id_col: str = "doc_id", text_col: str = "text", sure: float = 0.95) -> DataFrame:

@@ -312,6 +312,16 @@ def test_personal_data(spark, odd, none):
     assert pii.train(none) is None and pii.detect(none, None).count() == 0
 
 
+def test_personal_data_that_is_rare(spark):
+    last = spark.range(3000).orderBy(F.xxhash64("id").desc()).first().id
+    rows = [(i, f"room {i % 90} on floor {i % 7}") for i in range(3000)]
+    rows[last] = (last, f"{rows[last][1]} write to user77@mail.example.com")
+    field = pii.train(docs_of(spark, rows), sample=100)
+    assert field is not None
+    assert pii.train(docs_of(spark, [r for r in rows if r[0] != last]), sample=100) is None
+    assert not [x for t, (b, x) in zip(rows, pii.find_spans([t for _, t in rows], field), strict=True) if x != b]
+
+
 def test_pipeline(spark, none):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     d = "/root/testdata/sf0.001"
