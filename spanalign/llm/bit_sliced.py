@@ -12,8 +12,8 @@ no task holds more than one index block and one query block, and only k rows lea
 
 Defined results: vectors that are null or hold null or non-finite components take no part, and neither do rows without
 an id; shorter vectors count as padded with zeros; a query is not compared with rows of its own id; of repeated query
-ids the smallest vector asks; candidates that repeat an id stay separate rows; an empty table gives no rows. Quantised
-components of 2**24 or more raise an error, as scores might not fit 64 bits.
+ids the smallest vector asks; candidates that repeat an id stay separate rows; an empty table gives no rows. Sums are as wide as
+the data need; only a quantised component or a block's best score that is no 64-bit integer itself raises an error.
 """
 
 from __future__ import annotations
@@ -26,14 +26,21 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-FEW = 24
+LONG = np.iinfo(np.int64)
+
+
+def checked(q: np.ndarray) -> np.ndarray:
+    """The quantised components; those beyond 64 bits come as the largest or smallest integer."""
+    if q.size and (q.max() == LONG.max or q.min() == LONG.min):
+        raise ValueError("a quantised component does not fit 64 bits")
+    return q
 
 
 def slices_of(values: np.ndarray) -> tuple[np.ndarray, int]:
     """Bitmaps [dimension, bit, word] of an integer matrix [row, dimension], and the offset taken off all values."""
     rows, dims = values.shape
     offset = int(values.min()) if values.size else 0
-    moved = (values - offset).T
+    moved = (values.astype(np.uint64) - np.uint64(offset % (1 << 64))).T
     width = max(1, int(moved.max()).bit_length() if moved.size else 1)
     words = -(-rows // 64)
     bits = np.zeros((dims, width, words * 64), np.uint8)
@@ -58,7 +65,7 @@ class BitSlicedBlock:
         if len(query) < self.dims:
             query = np.concatenate([query, np.zeros(self.dims - len(query), np.int64)])
         query = query[: self.dims]
-        size, sign = np.abs(query), query < 0
+        size, sign = np.abs(query).astype(np.uint64), query < 0
         base = (np.arange(self.dims) + np.where(sign, self.dims, 0)) * self.width
         at: dict[int, list[np.ndarray]] = {}
         for i in range(int(size.max()).bit_length() if self.dims else 0):
@@ -89,7 +96,7 @@ class BitSlicedBlock:
                 now = (now[0] ^ now[1])[None]
             sums.append(now[0])
             weight += 1
-        const = self.offset * int(query.sum()) - ((1 << self.width) - 1) * int(size[sign].sum())
+        const = self.offset * sum(query.tolist()) - ((1 << self.width) - 1) * sum(size[sign].tolist())
         return sums, const
 
     def top(self, query_id: int, query: np.ndarray, k: int) -> list[tuple[int, int]]:
@@ -149,9 +156,7 @@ def top_inner_products(vectors: DataFrame, is_query: Column, k: int = 5, id_col:
         m = np.zeros((len(pdf), dims), np.int64)
         for i, q in enumerate(pdf.q):
             m[i, : len(q)] = q
-        if m.size and np.abs(m).max() >= 1 << FEW:
-            raise ValueError(f"a quantised component is {np.abs(m).max()}; scores might not fit 64 bits")
-        slices, offset = slices_of(m)
+        slices, offset = slices_of(checked(m))
         ids = pdf.id.to_numpy(np.int64)
         return pd.DataFrame({"block": [key[0]], "ids": [ids.tobytes()], "slices": [slices.tobytes()], "dims": [dims], "width": [slices.shape[1]], "offset": [offset]})
 
@@ -168,10 +173,10 @@ def top_inner_products(vectors: DataFrame, is_query: Column, k: int = 5, id_col:
             ids = np.frombuffer(r.ids, np.int64)
             block = BitSlicedBlock(ids, np.frombuffer(r.slices, np.uint64).reshape(r.dims, r.width, -(-len(ids) // 64)), r.offset)
             for query_id, q in zip(asked.id, asked.q, strict=True):
-                q = np.asarray(q, np.int64)
-                if len(q) and np.abs(q).max() >= 1 << FEW:
-                    raise ValueError("a quantised component is too large")
-                out += [(query_id, i, s) for i, s in block.top(query_id, q, k)]
+                best = block.top(query_id, checked(np.asarray(q, np.int64)), k)
+                if any(not LONG.min <= s <= LONG.max for _, s in best):
+                    raise ValueError(f"a score of {query_id} does not fit 64 bits")
+                out += [(query_id, i, s) for i, s in best]
         return pd.DataFrame(out, columns=["query_id", "id", "score"]).astype("int64")
 
     found = index.groupBy("block", "asked").cogroup(queries.groupBy("block", "asked")).applyInPandas(search, "query_id long, id long, score long")

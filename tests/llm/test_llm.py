@@ -67,6 +67,24 @@ def test_bit_sliced_brute_force(spark):
     assert bit_sliced.top_inner_products(df.limit(0), F.col("vec_id") > 0).count() == 0
 
 
+def test_bit_sliced_large_components(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, (rng.integers(-(1 << 25), 1 << 25, 64) / 256).tolist()) for i in range(60)]
+    rows[7] = (7, [float(1 << 17)] * 64)
+    rows[8] = (8, [-float(1 << 17)] * 64)
+    rows[9] = (9, [float(1 << 46)] + [0.0] * 63)  # its scores reach 2**54 * 2**8
+    rows = [(i, x if i == 9 or i in (7, 8) else [float(np.clip(x[0], -1, 1)), *x[1:]]) for i, x in rows]
+    rows[7], rows[8] = (7, [0.5, *rows[7][1][1:]]), (8, [-0.5, *rows[8][1][1:]])
+    got = bit_sliced.top_inner_products(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") < 12, k=5, index_rows=20, query_rows=7).collect()
+    q = {i: [int(np.floor(256 * v)) for v in x] for i, x in rows}
+    for i in range(12):
+        top = sorted((-sum(a * b for a, b in zip(q[i], q[j], strict=True)), j) for j in q if j != i)[:5]
+        assert sorted((r.rank, r.vec_id, r.score) for r in got if r.query_id == i) == [(k + 1, j, -s) for k, (s, j) in enumerate(top)]
+    for big in ([1e30], [-1e30], [float(1 << 40)]):
+        with pytest.raises(Exception, match="does not fit 64 bits"):
+            bit_sliced.top_inner_products(spark.createDataFrame([(1, big), (2, [float(1 << 40)])], "vec_id long, embedding array<double>"), F.lit(True)).collect()
+
+
 def test_packing(spark, odd, none):
     rng = random.Random(0)
     items = [rng.choice([0, 3, rng.randint(1, 100), 100, 64]) for _ in range(500)]
