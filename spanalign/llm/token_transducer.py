@@ -12,10 +12,10 @@ pre-tokenised text never holds) that leads back to the start state.
 States are made on first use and kept in one table (next state and count in one integer), up to a bound; beyond it
 the table is emptied and grows again, so memory is bounded whatever the text.
 
-Text runs through the table in many lanes at once. A chunk may start inside a word, so it is run as a state map:
-its bytes up to the first word end (the only part whose count depends on the state it starts in), the count of the
-rest, and the state at its end. Maps compose associatively; a prefix scan over the chunks' maps gives each chunk the
-state it really starts in.
+Text runs through the table in many lanes at once. A chunk may start inside a word; only its head, the bytes up to the
+first word end, depends on the state it starts in, so the lanes count all but the heads. Then a sequential loop over
+the chunks runs each head again from the state that the chunk before it ends in. No state maps are built or composed
+(a map would need every state that a lazily compiled table may still grow).
 
 Null and empty texts have 0 tokens; a text of any length is processed whole; repeated rows are counted one by one.
 """
@@ -185,14 +185,14 @@ class Transducer:
         cols[:n] = self.column[stream]
         by_step = np.ascontiguousarray(cols.reshape(lanes, length).T)
         changes = np.empty((length, lanes), np.int8)
-        # each chunk as a state map: UNSYNCED until its first word end, an exact state from there on
+        # each chunk is UNSYNCED until its first word end, an exact state from there on
         states = np.full(lanes, UNSYNCED, np.int64)
         states[0] = ROOT
         for k in range(length):
             cells = self.step(states, by_step[k])
             states = (cells >> 8).astype(np.int64)
             changes[k] = (cells & 255) - 128
-        # scan: compose each map with the state that the maps before it end in
+        # in order: run each chunk's head again from the state that the chunk before it ends in
         by_chunk = np.ascontiguousarray(changes.T).reshape(-1)
         chunks = cols.reshape(lanes, length)
         for k in range(1, lanes):
