@@ -18,31 +18,47 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session names none (tests on one machine), a local folder is made and set.
+    Only where the session names none and runs on one machine (tests), a local folder is made and set; on a cluster
+    that is an error, as executors could not read what others wrote.
     """
     set_here = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not set_here:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         set_here = tempfile.mkdtemp(prefix="spanalign-")
         spark.sparkContext.setCheckpointDir(set_here)
     return set_here
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage: the rows as a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def stored(df: DataFrame, scratch: list[str] | None = None) -> DataFrame:
+    """The rows as a Parquet table in the shared folder, read again (column-pruned and compressed); cuts the lineage.
 
-
-def stored(df: DataFrame, *partition_by: str) -> DataFrame:
-    """The rows as a Parquet table in the shared folder, read again (column-pruned and compressed)."""
+    The table's path is added to ``scratch``, for ``discard``.
+    """
     path = f"{shared_dir(df.sparkSession)}/spanalign-{uuid.uuid4().hex}"
-    writer = df.write
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    df.write.parquet(path)
+    if scratch is not None:
+        scratch.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, scratch: list[str]) -> None:
+    """Delete tables of ``stored`` that no plan reads any more, and empty the list."""
+    for path in scratch:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    scratch.clear()
+
+
+def free_name(columns: list[str], name: str) -> str:
+    """A column name that ``columns`` do not hold (names are compared without regard to case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def utf8_size(text: str | object) -> object:
     """Column: UTF-8 bytes of a text column, null counts as empty."""
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")

@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, free_name, stored
 from .components import components
 
 BLOCKS, SAMPLED = 12, 3
@@ -125,68 +125,122 @@ def sampled_blocks(hashes: np.ndarray) -> list[int]:
 
 
 def with_shingles(docs: DataFrame, words_per_shingle: int, id_col: str, text_col: str) -> DataFrame:
-    """Rows (rk, id, text_key, blocks, shingles): rk tells rows of different id or text apart; shingles is the
-    set of 32-bit shingle hashes."""
+    """Rows (id, text_key, blocks, shingles): shingles is the set of 32-bit shingle hashes."""
 
     def run(batches):
         import pyarrow as pa
-        from xxhash import xxh3_128_hexdigest
 
         for batch in batches:
-            keys, blocks, sets = [], [], []
+            blocks, sets = [], []
             for x in batch.column(2):
-                text = x.as_py() or ""
-                h = shingle_hashes(text, words_per_shingle)
-                keys.append(xxh3_128_hexdigest(text.encode()))
+                h = shingle_hashes(x.as_py(), words_per_shingle)
                 h = np.unique(h) if len(h) else np.zeros(1, np.uint64)
                 blocks.append(sampled_blocks(h))
                 sets.append(np.unique((h >> np.uint64(32)).astype(np.uint32)).view(np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys), pa.array(blocks, pa.list_(pa.int64())), pa.array(sets, pa.list_(pa.int32()))], ["rk", "id", "text_key", "blocks", "shingles"])
-
-    picked = docs.select(row_key(id_col, text_col).alias("rk"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return picked.mapInArrow(run, "rk long, id long, text_key string, blocks array<long>, shingles array<int>")
-
-
-def row_key(id_col: str, text_col: str) -> Column:
-    return F.xxhash64(F.lit(1), id_col, text_col)
-
+            columns = [batch.column(0), batch.column(1), pa.array(blocks, pa.list_(pa.int64())), pa.array(sets, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "text_key", "blocks", "shingles"])
+
+    picked = docs.select(F.col(id_col).cast("long").alias("id"), text_key(text_col).alias("text_key"), F.col(text_col).alias("text"))
+    return picked.mapInArrow(run, "id long, text_key string, blocks array<long>, shingles array<int>")
+
+
+def text_key(text_col: str) -> Column:
+    """128 bits that tell texts apart."""
+    return F.md5(F.coalesce(F.col(text_col), F.lit("")))
+
+
+def alike(size: str, other: str, similarity: float) -> Column:
+    """Whether sets of these sizes can have the similarity at all."""
+    return F.least(size, other) >= similarity * F.greatest(size, other) - 1e-6
+
+
+def star_pairs(members: DataFrame, heads: int, turn: int, similarity: float) -> DataFrame:
+    """Pairs (a: member, b: head) of members (c, key, rk, size, group) of shared blocks with heads of other groups.
+
+    A block's heads are the members of the least hash in each of ``heads`` residue classes of that hash, which changes
+    with ``turn``. As the hash is the same in all blocks, blocks of the same members have the same heads, so a member
+    meets few of them. Only members outside the block's largest group meet them, or, where groups are single
+    members, all."""
+    h = F.xxhash64("rk", F.lit(turn))
+    first = [F.min(F.when(F.pmod(h, F.lit(heads)) == i, F.struct(h.alias("h"), "rk", "size", "group"))) for i in range(heads)]
+    led = members.groupBy("c", "key").agg(F.count("*").alias("n"), F.array_compact(F.array(*first)).alias("heads"))
+    if turn:
+        largest = members.groupBy("c", "key", "group").agg(F.count("*").alias("m")).groupBy("c", "key")
+        largest = largest.agg(F.max(F.struct("m", "group")).alias("x")).select("c", "key", F.col("x.group").alias("main"))
+        members = members.join(largest, ["c", "key"]).filter("group <> main")
+    met = members.join(led.filter("n > 1").select("c", "key", "heads"), ["c", "key"])
+    near = F.least("x.size", "size") >= similarity * F.greatest("x.size", "size") - 1e-6
+    met = met.select("rk", "size", "group", F.explode("heads").alias("x")).filter((F.col("x.group") != F.col("group")) & near)
+    return met.select(F.col("rk").alias("a"), F.col("x.rk").alias("b")).distinct()
+
+
+def thinned(links: DataFrame) -> DataFrame:
+    """Fewer links (a, b) with the same components: where ``a`` has several partners, one link to the first of them and
+    links from each partner to the next. Members of one group mostly have the same heads, whose links are then the same."""
+    path = F.sort_array(F.collect_set("b"))
+    steps = F.expr("transform(b, (y, i) -> struct(if(i = 0, a, b[i - 1]) as a, y as b))")
+    return links.groupBy("a").agg(path.alias("b")).select(F.explode(steps).alias("x")).select("x.*").distinct()
+
+
+def merged(comps: DataFrame | None, links: DataFrame, scratch: list[str]) -> DataFrame:
+    """The components (node, component) with the links (a, b) added; the links are lifted to components first, so that
+    older links are not gone through again."""
+    if comps is None:
+        return components(thinned(links), scratch)
+    of = lambda side: comps.select(F.col("node").alias(side), F.col("component").alias(f"{side}_top"))
+    lifted = links.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    lifted = lifted.select(F.coalesce("a_top", "a").alias("a"), F.coalesce("b_top", "b").alias("b"))
+    more = components(lifted, scratch)
+    top = more.select(F.col("node").alias("component"), F.col("component").alias("top"))
+    known = comps.join(top, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+    return known.unionByName(more.join(comps.select("node"), "node", "left_anti"))
+
+
+def mixed_blocks(keyed: DataFrame, comps: DataFrame | None) -> DataFrame:
+    """Rows (c, key, n, rk, size, group) of the blocks whose n members are not yet one group."""
+    blocks = keyed.withColumn("group", F.col("rk"))
+    if comps is not None:
+        blocks = keyed.join(comps, keyed.rk == comps.node, "left").select(keyed["*"], F.coalesce("component", "rk").alias("group"))
+    spread = blocks.groupBy("c", "key").agg(F.count("*").alias("n"), F.min("group").alias("g1"), F.max("group").alias("g2"))
+    return blocks.join(spread.filter("g1 <> g2").select("c", "key", "n"), ["c", "key"])
 
-def block_pairs(members: DataFrame, few: int, heads: int, turn: int) -> DataFrame:
-    """Candidate pairs (a, b), a < b, among members (c, key, rk) of shared blocks.
 
-    Members of small blocks are paired with each other. In a large block each member meets ``heads`` members: the
-    least of each residue class of a hash that changes with ``turn``."""
-    residue = F.pmod(F.xxhash64("rk", F.lit(turn)), F.lit(heads))
-    first = [F.min(F.when(residue == i, F.col("rk"))) for i in range(heads)]
-    shared = members.groupBy("c", "key").agg(F.count("*").alias("n"), F.array_compact(F.array(*first)).alias("h")).filter("n > 1")
-    small = members.join(shared.filter(F.col("n") <= few).select("c", "key"), ["c", "key"]).groupBy("c", "key").agg(F.array_sort(F.collect_list("rk")).alias("f"))
-    near = F.expr("flatten(transform(f, (x, i) -> transform(slice(f, i + 2, size(f)), y -> struct(x as a, y as b))))")
-    pairs = small.select(F.explode(near).alias("p")).select("p.*")
-    met = members.join(shared.filter(F.col("n") > few).select("c", "key", "h"), ["c", "key"]).select("rk", F.explode("h").alias("h")).filter("h <> rk")
-    return pairs.unionByName(met.select(F.least("rk", "h").alias("a"), F.greatest("rk", "h").alias("b"))).distinct()
+def all_pairs_of_small_blocks(mixed: DataFrame, few: int, similarity: float) -> DataFrame:
+    """Pairs (a, b), a < b, of members of different groups that share a block of at most ``few`` members."""
+    lists = mixed.filter(F.col("n") <= few).groupBy("c", "key").agg(F.array_sort(F.collect_list(F.struct("rk", "size", "group"))).alias("f"))
+    near = F.expr(
+        "flatten(transform(f, (x, i) -> transform(filter(slice(f, i + 2, size(f)), y -> y.group <> x.group "
+        f"and least(x.size, y.size) >= {similarity} * greatest(x.size, y.size) - 1e-6), y -> struct(x.rk as a, y.rk as b))))"
+    )
+    return lists.select(F.explode(near).alias("p")).select("p.*").distinct()
 
 
-def outsider_links(blocks: DataFrame, sets: DataFrame, few: int, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """Links (a, b) across groups, and the rows of the blocks with more than ``few`` members outside their largest group.
+def outsider_links(mixed: DataFrame, sets: DataFrame, few: int, similarity: float) -> DataFrame:
+    """Links (a, b) between groups, in blocks of over ``few`` members of which at most ``few`` lie outside the largest group.
 
-    blocks: (c, key, rk, group). Blocks of up to ``few`` members are left out. Where at most ``few`` members lie outside a block's
-    largest group, each of these is compared with every member of another group: their shingle sets, before
-    any row is made, and in the first block that a pair shares; so the block is exact and its shuffle linear. One link for an outsider and a group is enough."""
-    sizes = blocks.groupBy("c", "key", "group").agg(F.count("*").alias("n")).groupBy("c", "key").agg(F.sum("n").alias("all"), F.max(F.struct("n", "group")).alias("m"))
-    mixed = sizes.filter((F.col("all") > few) & (F.col("all") > F.col("m.n"))).select("c", "key", F.col("m.group").alias("largest"), (F.col("all") - F.col("m.n")).alias("outside"))
-    here = blocks.join(mixed.filter(F.col("outside") <= few), ["c", "key"])
+    Each of these outsiders is compared with every member of another group: their shingle sets, before any row is made,
+    and in the first such block that a pair shares. One link for an outsider and a group is enough."""
+    held = mixed.filter(F.col("n") > few).groupBy("c", "key", "group").agg(F.count("*").alias("m"), F.max("n").alias("n")).groupBy("c", "key")
+    held = held.agg(F.max(F.struct("m", "group")).alias("x"), F.max("n").alias("n")).filter(F.col("n") - F.col("x.m") <= few)
+    here = mixed.select("c", "key", "rk", "group").join(held.select("c", "key", F.col("x.group").alias("main")), ["c", "key"])
     own = here.groupBy("rk").agg(F.collect_set(F.struct("c", "key")).alias("own")).join(sets, "rk")
     here = here.join(own, "rk")
-    outsiders = here.filter("group <> largest").groupBy("c", "key").agg(F.collect_list(F.struct("rk", "group", "own", "shingles")).alias("o"))
+    outsiders = here.filter("group <> main").groupBy("c", "key").agg(F.collect_list(F.struct("rk", "group", "own", "shingles")).alias("o"))
     near = F.expr(
-        "filter(o, y -> y.group <> group "
+        "filter(o, y -> y.group <> group and (group = main or y.rk < rk) "
         "and not exists(own, m -> m < struct(c, key) and array_contains(y.own, m)) "
+        f"and least(size(shingles), size(y.shingles)) >= {similarity} * greatest(size(shingles), size(y.shingles)) - 1e-6 "
         f"and size(array_intersect(shingles, y.shingles)) * {1 + similarity} >= {similarity} * (size(shingles) + size(y.shingles)) - 1e-6)"
-    )
-    met = here.join(outsiders, ["c", "key"]).select("rk", "group", F.explode(near).alias("y"))
-    links = met.groupBy(F.col("y.rk").alias("o"), "group").agg(F.min("rk").alias("rk"))
-    links = links.select(F.least("o", "rk").alias("a"), F.greatest("o", "rk").alias("b")).distinct()
-    return links, blocks.join(mixed.filter(F.col("outside") > few).select("c", "key"), ["c", "key"])
+    )
+    met = here.join(outsiders, ["c", "key"]).select("rk", "group", F.explode(F.transform(near, lambda y: y["rk"])).alias("o"))
+    return met.groupBy(F.col("o").alias("a"), "group").agg(F.min("rk").alias("b")).select("a", "b")
+
+
+def wide_members(mixed: DataFrame, few: int) -> DataFrame:
+    """Rows (rk, group) of the blocks that ``outsider_links`` leaves out: over ``few`` members outside the largest group."""
+    held = mixed.filter(F.col("n") > few).groupBy("c", "key", "group").agg(F.count("*").alias("m"), F.max("n").alias("n")).groupBy("c", "key")
+    held = held.agg(F.max("m").alias("m"), F.max("n").alias("n")).filter(F.col("n") - F.col("m") > few)
+    return mixed.join(held.select("c", "key"), ["c", "key"]).select("rk", "group").distinct()
 
 
 def rarest_shingles(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -232,84 +286,22 @@ def rarest_shingles(members: DataFrame, sets: DataFrame, similarity: float) -> D
     return held.mapInArrow(run, "shingle int, rk long, group long, size int, place int")
 
 
-def pairs_at(x: dict[str, np.ndarray], similarity: float, short: int = 64, wide: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (a, b) of rows of different groups with the same shingle, in rows ordered by shingle.
-
-    The shingles after a common one bound what two sets can share: pairs that stay below ``similarity`` even so go.
-    Runs of a shingle of over ``short`` rows compare each row outside the run's largest group with all of the run."""
+def rare_shingle_pairs(rare: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b), a < b, of rows of different groups with a shingle in common; all of ``similarity`` or more are among them.
 
-    def near(p, q):
-        least = np.ceil(similarity / (1 + similarity) * (x["size"][p].astype(np.int64) + x["size"][q]) - 1e-6)
-        return (x["group"][p] != x["group"][q]) & (np.minimum(left[p], left[q]) >= least)
-
-    n, left = len(x["shingle"]), x["size"] - x["place"]
-    start = np.flatnonzero(np.r_[True, x["shingle"][1:] != x["shingle"][:-1]]) if n else np.zeros(0, np.int64)
-    length = np.diff(np.r_[start, n])
-    after = np.repeat(start + length, length) - np.arange(n)
-    at = np.flatnonzero(np.repeat(length <= short, length))
-    found: list[tuple[np.ndarray, np.ndarray]] = []
-    for k in range(1, short):
-        at = at[after[at] > k]
-        if not len(at):
-            break
-        p = at[near(at, at + k)]
-        found.append((p, p + k))
-    for s, m in zip(start[length > short], length[length > short], strict=True):
-        group, each = np.unique(x["group"][s : s + m], return_counts=True)
-        outside = s + np.flatnonzero(x["group"][s : s + m] != group[each.argmax()])
-        step = max(1, wide // int(m))
-        for i in range(0, len(outside), step):
-            p, q = np.nonzero(near(outside[i : i + step, None], np.arange(s, s + m)[None]))
-            found.append((outside[i + p], s + q))
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    a, b = (x["rk"][np.concatenate(side)] for side in zip(*found, strict=True))
-    return np.minimum(a, b), np.maximum(a, b)
-
-
-def rare_shingle_pairs(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of members (rk, group) of different groups; all of ``similarity`` or more are among them."""
-    names = ["shingle", "rk", "group", "size", "place"]
-
-    def run(batches):
-        import pyarrow as pa
-
-        held: list[dict[str, np.ndarray]] = []
-
-        def flush():
-            x = {c: np.concatenate([h[c] for h in held]) for c in names}
-            held.clear()
-            a, b = np.unique(np.stack(pairs_at(x, similarity)), axis=1)
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = {c: batch.column(i).to_numpy(zero_copy_only=False) for i, c in enumerate(names)}
-            last = int(np.searchsorted(x["shingle"], x["shingle"][-1]))
-            if held and (last or held[-1]["shingle"][-1] != x["shingle"][0]):
-                held.append({c: v[:last] for c, v in x.items()})
-                yield flush()
-                x = {c: v[last:] for c, v in x.items()}
-            held.append(x)
-        if held:
-            yield flush()
-
-    rare = rarest_shingles(members, sets, similarity).repartition("shingle").sortWithinPartitions("shingle")
-    return rare.mapInArrow(run, "a long, b long").distinct()
-
-
-def rest_of_large_blocks(keyed: DataFrame, comps: DataFrame, sets: DataFrame, few: int, similarity: float) -> DataFrame:
-    """Pairs (a, b) across groups that the heads of large blocks may have missed, still to be verified.
-
-    Blocks with up to ``few`` outsiders are compared as ``outsider_links`` says. The members of all wider blocks are
-    joined by their rarest shingles, so none of their pairs is lost, whatever blocks it shares."""
-    blocks = keyed.join(comps, keyed.rk == comps.node, "left").select("c", "key", "rk", F.coalesce("component", "rk").alias("group"))
-    links, wide = outsider_links(blocks, sets, few, similarity)
-    links, wide = stored(links), stored(wide.select("rk", "group").distinct())
-    if wide.isEmpty():
-        return links
-    return links.unionByName(rare_shingle_pairs(wide, sets, similarity)).distinct()
+    rare: as ``rarest_shingles`` gives it. Shingles that only one group holds go first. At each other shingle
+    the members outside its largest group are joined with all of other groups; a frequent shingle's rows are rows of a
+    join, which can be split. The shingles after a common one bound what two sets share: pairs that stay below
+    ``similarity`` even so make no row."""
+    held = rare.groupBy("shingle", "group").agg(F.count("*").alias("n")).groupBy("shingle")
+    held = held.agg(F.count("*").alias("groups"), F.max(F.struct("n", "group")).alias("m")).filter("groups > 1")
+    rows = rare.join(held.select("shingle", F.col("m.group").alias("largest")), "shingle")
+    rows = rows.select("shingle", "rk", "group", "size", (F.col("size") - F.col("place")).alias("left"), (F.col("group") == F.col("largest")).alias("main"))
+    x, y = rows.filter("not main").alias("x"), rows.alias("y")
+    once = (F.col("x.group") != F.col("y.group")) & (F.col("y.main") | (F.col("x.rk") < F.col("y.rk")))
+    most = F.least(F.col("x.left"), F.col("y.left")) * (1 + similarity) >= similarity * (F.col("x.size") + F.col("y.size")) - 1e-6
+    met = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & once & most & alike("x.size", "y.size", similarity))
+    return met.select(F.least("x.rk", "y.rk").alias("a"), F.greatest("x.rk", "y.rk").alias("b")).distinct()
 
 
 def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -319,62 +311,91 @@ def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return sided.filter(both >= similarity * (F.size("x") + F.size("y") - both)).select("a", "b")
 
 
-def near_duplicate_groups(docs: DataFrame, words_per_shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", few: int = 96, heads: int = 12) -> DataFrame:
-    """Rows (rk, id, keeper, copies) for each distinct (id, text): whether it is the one of its group that stays (the
-    least id), and how many rows repeat it. Groups are the components of links of ``similarity`` or more.
+def without(pairs: DataFrame, compared: DataFrame) -> DataFrame:
+    """The pairs (a, b) that ``compared`` holds neither way round."""
+    done = compared.unionByName(compared.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    return pairs.join(done, ["a", "b"], "left_anti")
+
 
-    Equal texts are one class from the start (its least id stands for it). Classes that share a block are compared as
-    ``block_pairs`` says. What the heads of a large block miss is looked for in further rounds with other heads, in
-    which one class stands for all of its component, until a round adds no link; then ``rest_of_large_blocks``
-    compares what is left.
+def near_duplicate_groups(docs: DataFrame, words_per_shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", few: int = 96, heads: int = 4, turns: int = 1) -> DataFrame:
+    """Rows (id, text_key, copies, keeper) for each distinct (id, text): how many rows repeat it, and whether it is the one
+    of its group that stays (the least id). Groups are the components of links of ``similarity`` or more.
+
+    Equal texts are one class from the start. Classes that share a block are compared, and those of one group no more:
+    first every member with its block's head; then all others in blocks of up to ``few`` members; then, in larger
+    blocks, the members outside the largest group with ``heads`` other heads, in ``turns`` turns; what is left there as
+    ``outsider_links`` and ``rare_shingle_pairs`` say. So no pair that shares a block is lost, and none of these
+    numbers changes the result. Tables of the steps between are deleted.
     """
-    rows = stored(with_shingles(docs, words_per_shingle, id_col, text_col))
-    texts = rows.groupBy("text_key").agg(F.min(F.struct(F.col("id").isNull().alias("null"), "id", "rk")).alias("m"))
-    texts = stored(texts.select("text_key", F.col("m.rk").alias("rk"), F.col("m.id").alias("id")))
-    classes = rows.join(texts.select("rk"), "rk", "left_semi").groupBy("rk").agg(F.first("blocks").alias("blocks"), F.first("shingles").alias("shingles"))
-    classes = stored(classes)
-    keyed = classes.select("rk", F.posexplode("blocks").alias("c", "key"))
-    keyed = stored(keyed.join(keyed.groupBy("c", "key").agg(F.count("*").alias("n")).filter("n > 1").select("c", "key"), ["c", "key"]))
-    sets = classes.select("rk", "shingles")
-    found = comps = compared = None
-    turn = 0
-    while True:
-        members = keyed
-        if comps is not None:
-            grouped = keyed.join(comps, keyed.rk == comps.node, "left").select(keyed["*"], F.coalesce("component", "rk").alias("group"))
-            members = grouped.groupBy("c", "key", "group").agg(F.min("rk").alias("rk")).select("c", "key", "rk")
-        pairs = block_pairs(members, few, heads, turn)
-        if compared is not None:
-            pairs = pairs.join(compared, ["a", "b"], "left_anti")
-        pairs = stored(pairs)
+    spark, scratch, fat = docs.sparkSession, [], []
+    rows = stored(with_shingles(docs, words_per_shingle, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), fat)
+    least = F.struct(F.col("id").isNull().alias("null"), "id")
+    size = F.size("shingles").alias("size")
+    classes = rows.select("row", "id", "text_key", "blocks", size).groupBy("text_key").agg(F.min("row").alias("rk"), F.min(least).alias("m"), F.first("blocks").alias("blocks"), F.first("size").alias("size"))
+    classes = stored(classes.select("rk", "text_key", F.col("m.id").alias("id"), "blocks", "size"), scratch)
+    slim = stored(rows.groupBy("id", "text_key").agg(F.count("*").alias("copies")), scratch)
+    keyed = classes.select("rk", "size", F.posexplode("blocks").alias("c", "key"))
+    shared = keyed.groupBy("c", "key").agg(F.count("*").alias("n")).filter("n > 1")
+    keyed = stored(keyed.join(shared.select("c", "key"), ["c", "key"]), scratch)
+    needed = keyed.select("rk").distinct()
+    sets = stored(rows.join(needed, rows.row == needed.rk, "left_semi").select(F.col("row").alias("rk"), "shingles"), scratch)
+    discard(spark, fat)
+
+    comps = compared = None
+
+    def link(comps: DataFrame | None, links: DataFrame) -> tuple[DataFrame | None, DataFrame]:
+        """The components with verified links added, and the blocks that are still of several groups."""
+        links = stored(links, scratch)
+        if not links.isEmpty():
+            comps = stored(merged(comps, links, scratch), scratch)
+        return comps, stored(mixed_blocks(keyed, comps), scratch)
+
+    def compare(pairs: DataFrame) -> DataFrame:
+        nonlocal compared
+        pairs = stored(pairs if compared is None else without(pairs, compared), scratch)
         compared = pairs if compared is None else compared.unionByName(pairs)
-        links = stored(similar(pairs, sets, similarity))
-        if links.isEmpty():
+        return similar(pairs, sets, similarity)
+
+    every = keyed.withColumns({"n": F.lit(few + 1).cast("long"), "group": F.col("rk")})
+    comps, mixed = link(comps, compare(star_pairs(every, 1, 0, similarity)))
+    comps, mixed = link(comps, compare(all_pairs_of_small_blocks(mixed, few, similarity)))
+    for turn in range(1, turns + 1):
+        if mixed.filter(F.col("n") > few).isEmpty():
             break
-        found = links if found is None else found.unionByName(links)
-        comps = stored(components(found))
-        turn += 1
-    alone = keyed.select(F.col("rk").alias("node"), F.col("rk").alias("component")).limit(0)
-    rest = rest_of_large_blocks(keyed, alone if comps is None else comps, sets, few, similarity)
-    links = stored(similar(rest, sets, similarity))
-    if not links.isEmpty():
-        found = links if found is None else found.unionByName(links)
-        comps = stored(components(found))
-    grouped = texts.select("rk", "id", F.col("rk").alias("group"))
+        comps, mixed = link(comps, compare(star_pairs(mixed.filter(F.col("n") > few), heads, turn, similarity)))
+    else:
+        comps, mixed = link(comps, outsider_links(mixed, sets, few, similarity))
+        wide = stored(wide_members(mixed, few), scratch)
+        if not wide.isEmpty():
+            rare = stored(rarest_shingles(wide, sets, similarity), scratch)
+            comps, _ = link(comps, compare(rare_shingle_pairs(rare, similarity)))
+
+    grouped = classes.select("rk", "text_key", "id", F.col("rk").alias("group"))
     if comps is not None:
-        grouped = texts.join(comps, texts.rk == comps.node, "left").select("rk", "id", F.coalesce("component", "rk").alias("group"))
-    best = grouped.groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("null"), "id", "rk")).alias("m")).select(F.col("m.rk").alias("rk"), F.lit(True).alias("keeper"))
-    copies = rows.groupBy("rk").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
-    return copies.join(best, "rk", "left").select("rk", "id", F.coalesce("keeper", F.lit(False)).alias("keeper"), "copies")
+        grouped = classes.join(comps, classes.rk == comps.node, "left").select("rk", "text_key", "id", F.coalesce("component", "rk").alias("group"))
+    best = grouped.groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("null"), "id", "text_key")).alias("m"))
+    best = best.select(F.col("m.id").alias("best"), F.col("m.text_key").alias("text_key"), F.lit(True).alias("here"))
+    stays = F.col("here").isNotNull() & F.col("id").eqNullSafe(F.col("best"))
+    out = stored(slim.join(best, "text_key", "left").select("id", "text_key", "copies", stays.alias("keeper")))
+    discard(spark, scratch)
+    return out
 
 
 def drop_near_duplicates(docs: DataFrame, words_per_shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, without those that are near copies of a row that stays."""
-    groups = stored(near_duplicate_groups(docs, words_per_shingle, similarity, id_col, text_col))
-    key = "__row_key"
-    marked = docs.withColumn(key, row_key(id_col, text_col))
-    kept = marked.join(groups.filter("not keeper").select(F.col("rk").alias(key)), key, "left_anti")
-    repeated = groups.filter("keeper and copies > 1").select(F.col("rk").alias(key))
+    """The rows of ``docs``, all columns, without those that are near copies of a row that stays.
+
+    Of rows that repeat an id and a text, the one whose columns come first as JSON stays."""
+    groups = near_duplicate_groups(docs, words_per_shingle, similarity, id_col, text_col)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    key, own = free_name(docs.columns, "__text_key"), free_name(docs.columns, "__id")
+    marked = docs.select(*columns, text_key(text_col).alias(key), F.col(id_col).cast("long").alias(own))
+    same = lambda g: F.col(key).eqNullSafe(g.text_key) & F.col(own).eqNullSafe(g.id)
+    gone = groups.filter("not keeper").select("id", "text_key")
+    kept = marked.join(gone, same(gone), "left_anti")
+    repeated = groups.filter("keeper and copies > 1").select("id", "text_key")
     if not repeated.isEmpty():
-        kept = kept.join(repeated, key, "left_anti").unionByName(kept.join(repeated, key, "left_semi").dropDuplicates([key]))
-    return kept.drop(key)
+        again = kept.join(repeated, same(repeated), "left_semi")
+        row = F.struct(*columns)
+        again = again.groupBy(key, own).agg(F.min_by(row, F.to_json(row)).alias(key + "_row")).select(f"{key}_row.*")
+        return kept.join(repeated, same(repeated), "left_anti").select(*columns).unionByName(again)
+    return kept.select(*columns)

@@ -205,21 +205,26 @@ def test_near_duplicates_that_repeat_a_line(spark):
     assert sorted(r.doc_id for r in simhash.drop_near_duplicates(docs_of(spark, rows)).collect()) == list(range(0, 60, 2))
 
 
-def test_pairs_at_brute_force():
+@pytest.mark.parametrize("t", [0.8, 0.5])
+def test_rare_shingle_pairs_brute_force(spark, t):
     rng = random.Random(4)
-    for t, short in ((0.8, 64), (0.8, 3), (0.5, 2)):
-        base = [frozenset(rng.sample(range(60), rng.randint(1, 25))) for _ in range(20)]
-        docs = [frozenset(x for x in rng.choice(base) if rng.random() < 0.93) | {rng.randrange(60)} for _ in range(150)]
-        group = [rng.choice([7, i]) for i in range(150)]
-        often = [sum(s in d for d in docs) for s in range(60)]
-        rows = []
-        for i, d in enumerate(docs):
-            first = sorted(d, key=lambda s: (often[s], s))[: len(d) - int(np.ceil(t * len(d) - 1e-6)) + 1]
-            rows += [(s, i, group[i], len(d), k) for k, s in enumerate(first)]
-        x = dict(zip(("shingle", "rk", "group", "size", "place"), np.array(sorted(rows)).T, strict=True))
-        got = set(zip(*(v.tolist() for v in simhash.pairs_at(x, t, short)), strict=True))
-        want = {(i, j) for j in range(150) for i in range(j) if group[i] != group[j] and len(docs[i] & docs[j]) >= t * len(docs[i] | docs[j])}
-        assert want <= got and all(group[i] != group[j] for i, j in got)
+    base = [frozenset(rng.sample(range(60), rng.randint(1, 25))) for _ in range(20)]
+    docs = [frozenset(x for x in rng.choice(base) if rng.random() < 0.93) | {rng.randrange(60)} for _ in range(150)]
+    group = [rng.choice([7, i]) for i in range(150)]
+    sets = spark.createDataFrame([(i, sorted(d)) for i, d in enumerate(docs)], "rk long, shingles array<int>")
+    members = spark.createDataFrame(list(enumerate(group)), "rk long, group long")
+    rare = simhash.rarest_shingles(members, sets, t)
+    got = [(r.a, r.b) for r in simhash.rare_shingle_pairs(rare, t).collect()]
+    want = {(i, j) for j in range(150) for i in range(j) if group[i] != group[j] and len(docs[i] & docs[j]) >= t * len(docs[i] | docs[j])}
+    assert want <= set(got) and len(set(got)) == len(got) and all(i < j and group[i] != group[j] for i, j in got)
+
+
+def test_repeated_rows_keep_a_defined_one(spark):
+    rows = [(1, "a b c d e f", 3), (1, "a b c d e f", 2), (1, "a b c d e f", 9), (None, "other words here", 5), (None, "other words here", 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __text_key int").withColumn("__ID", F.lit(1))
+    for parts in (1, 3):
+        got = simhash.drop_near_duplicates(docs.repartition(parts))
+        assert got.columns == docs.columns and sorted(r[2] for r in got.collect()) == [2, 4]
 
 
 def test_sharding(spark, odd, none):
