@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanalign.llm import packing, pii, simhash, toxicity
-from spanalign.llm.common import read_table, shared_dir
+from spanalign.llm.common import discard, read_table, shared_dir
 from spanalign.session import ship
 
 
@@ -58,10 +58,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over ``documents``; each stage's rows are written to the shared folder and read again."""
+    """The stages over ``documents``; each stage's rows are written to the shared folder, read again, and
+    deleted when the next stage's are written."""
     docs = read_table(spark, sf_dir, "documents")
+    written: list[str] = []
     for name, stage in STAGES[:-1]:
         path = f"{shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        discard(spark, written)  # the stage before is read no more
+        written.append(path)
     return STAGES[-1][1](spark, docs, sf_dir)
