@@ -1,17 +1,21 @@
 """Operator 10: personal data, by patterns and a skip-chain conditional random field.
 
 Patterns find e-mail addresses, IP addresses, card numbers and phone numbers (``base_spans``). A conditional random field
-adds what patterns miss in context: its nodes are the tokens that hold a digit or ``@`` (others are of no kind), its
-local factors read a token's shape, length and neighbours, chain factors join neighbouring nodes, and skip factors
-join each node to the next one in the document of the same letters and digits, however far away, so that repeated or
-similarly written entities get one label. (Each repeat is joined to the next only, so the factors grow with the number
-of tokens, and evidence still reaches all repeats.) Labels of base spans are fixed; loopy message passing spreads them
-over the document, and tokens whose marginal reaches ``sure`` become spans of their own, cut clear of base spans.
-
-Weights are trained on the driver by pseudo-likelihood, with base spans as labels, on at most ``sample`` documents (those
-with the least hash of their id; documented bound). Where fewer than a tenth of them hold a base span, that tenth is
-drawn, in the same order, from all documents that do. Detection reads all documents, without a shuffle; graphs of many
-documents are run at once, a slice of tokens at a time.
+adds what patterns miss in context: its nodes are the tokens that hold a digit or ``@`` and spelled-out addresses
+(others are of no kind), its local factors read a token's shape, length and neighbours, chain factors join neighbouring
+nodes, and skip factors join each node to the one before it in the document, however far away, of the same letters and
+digits or the same last digits, so that repeated or similarly written entities get one label. (Each repeat is joined to
+the last only, so the factors grow with the number of tokens, and evidence still reaches all repeats.) Labels of base
+spans are given; loopy message passing spreads them over the document, and tokens whose marginal reaches ``sure`` become
+spans of their own, cut clear of base spans.
+
+Weights are trained on the driver by pseudo-likelihood of the nodes that no pattern labels, given those that one does.
+As the patterns say nothing of what they miss, the training texts get broken forms planted (``planted``): repeats of
+their own entities in ways of writing that the patterns do not know, with the entity's label, and look-alikes of random
+digits, with none. A broken form alone tells little then; what a repeat of a known entity means is learned. At most
+``sample`` documents are used (those with the least hash of their id; documented bound). Where fewer than a tenth of
+them hold a base span, that tenth is drawn, in the same order, from all documents that do. Detection reads all
+documents, without a shuffle; graphs of many documents are run at once, a slice of tokens at a time.
 
 Defined results: null and empty texts have no spans; texts of any length are searched whole, in linear time (long runs of
 digits or word characters too); repeated rows get equal spans; without any base span in the documents the field
@@ -20,6 +24,7 @@ adds nothing; an empty table gives no rows; other columns are not read. Offsets
 
 from __future__ import annotations
 
+import random
 import re
 import zlib
 from dataclasses import dataclass
@@ -41,6 +46,26 @@ NODE = re.compile(r"[0-9@]\S*")
 LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 
+#: An address with its sign and dots as words: the sign, in brackets or between spaces, then the domain.
+AT_WORD = re.compile(r"\s?[\[({]\s?at\s?[\])}]\s?|\sat\s", re.I)
+DOT = r"(?:\.|\s?[\[({]\s?dot\s?[\])}]\s?|\sdot\s)"
+SPELLED_DOMAIN = re.compile(rf"[A-Za-z0-9-]{{1,63}}(?:{DOT}[A-Za-z0-9-]{{1,63}}){{1,8}}", re.I)
+MARK_WORDS = re.compile(r"[\[({]\s?(?:at|dot)\s?[\])}]|\s(?:at|dot)\s", re.I)
+
+
+def spelled_out(text: str) -> list[tuple[int, int]]:
+    """Places that may be a spelled-out address: local part, the word ``at``, a domain of two parts or more."""
+    out: list[tuple[int, int]] = []
+    for m in AT_WORD.finditer(text):
+        start, least = m.start(), max(m.start() - 64, out[-1][1] if out else 0)
+        while start > least and text[start - 1] in LOCAL_CHARS:
+            start -= 1
+        domain = SPELLED_DOMAIN.match(text, m.end()) if start < m.start() else None
+        if domain:
+            out.append((start, domain.end()))
+    return out
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for i, c in enumerate(reversed(digits)):
@@ -104,15 +129,26 @@ def hashed(x: str) -> int:
     return zlib.crc32(x.encode()) & ((1 << BITS) - 1)
 
 
-def nodes_of(text: str, base: list[Span]) -> Nodes:
-    spans: list[tuple[int, int]] = []
-    at = 0
+def places(text: str) -> list[tuple[int, int]]:
+    """Spans of the nodes: tokens with a digit or ``@``, and spelled-out addresses whole, in order."""
+    out: list[tuple[int, int]] = []
+    spelled = spelled_out(text)
+    at = k = 0
     while m := NODE.search(text, at):
         start = m.start()
         while start > at and not text[start - 1].isspace():
             start -= 1
-        spans.append((start, m.end()))
         at = m.end()
+        while k < len(spelled) and spelled[k][1] <= start:
+            out.append(spelled[k])
+            k += 1
+        if k == len(spelled) or spelled[k][0] >= at:
+            out.append((start, at))
+    return sorted([*out, *spelled[k:]])
+
+
+def nodes_of(text: str, base: list[Span]) -> Nodes:
+    spans = places(text)
     by_start = sorted((s, e, LABELS.index(k)) for k, s, e in base)
     features, chain, skip, given = [], [], [], []
     last: dict[str, int] = {}
@@ -122,20 +158,115 @@ def nodes_of(text: str, base: list[Span]) -> Nodes:
             b += 1
         given.append(next((k for s2, e2, k in by_start[b : b + 4] if s2 < e and e2 > s), 0))
         token = text[s:e].strip(".,;:!?()[]{}<>\"'|#*$%&")
-        digits = sum(c.isdigit() for c in token[:256])
+        plain, marks = MARK_WORDS.subn("", token.lower()) if " " in token or "(" in token or "[" in token or "{" in token else (token.lower(), 0)
+        number = "".join(c for c in token[:256] if c.isdigit())
         before, after = text[max(0, s - 40) : s].split(), text[e : e + 40].split()
-        names = (f"s{shape(token)}", f"n{min(digits, 20)}", f"l{min(len(token), 24)}", f"a{'@' in token}", f"p{token.count('.')}", f"h{token.count('-')}", f"f{text[s]}", f"b{before[-1].lower()[:8] if before else ''}", f"c{after[0].lower()[:8] if after else ''}", f"d{digits == len(token)}")
+        names = (
+            f"s{shape(token)}", f"n{min(len(number), 20)}", f"l{min(len(token), 24)}", f"a{'@' in token}", f"p{token.count('.')}",
+            f"h{token.count('-')}", f"f{text[s]}", f"b{before[-1].lower()[:8] if before else ''}",
+            f"c{after[0].lower()[:8] if after else ''}", f"d{len(number) == len(token)}",
+            f"m{marks > 0}{any(c in token for c in '([{')}",
+        )
         features.append([hashed(x) for x in names])
         if i and not text[spans[i - 1][1] : s].strip(" ()-."):
             chain.append((i - 1, i))
-        key = "".join(c for c in token.lower() if c.isalnum())
-        if len(key) >= 6:
-            if key in last:
-                skip.append((last[key], i))
-            last[key] = i
+        letters = "".join(c for c in plain if c.isalnum())
+        keys = [letters] if len(letters) >= 6 else []
+        if len(number) >= 7:
+            keys.append(f"..{number[-7:]}")
+        skip += [(j, i) for j in sorted({last[key] for key in keys if key in last})]
+        last.update(dict.fromkeys(keys, i))
     return Nodes(spans, features, chain, skip, given)
 
 
+def broken(kind: str, entity: str, rng: random.Random) -> str:
+    """The entity as the patterns do not know it."""
+    if kind == "email":
+        name, _, host = entity.partition("@")
+        at = rng.choice([" (at) ", "(at)", " [at] ", " at ", " {at} "])
+        return f"{name}{at}{host.replace('.', rng.choice(['.', '.', ' dot ', ' (dot) ']))}"
+    digits = "".join(c for c in entity if c in "0123456789")
+    if kind == "ip":
+        return entity.replace(".", rng.choice(["-", ",", "_", "/"]))
+    if kind == "card":
+        return rng.choice([".", "/", "_", ":"]).join(digits[i : i + 4] for i in range(0, len(digits), 4))
+    tail = digits[-10:]
+    if rng.random() < 0.5:  # the pattern takes the number and what follows as one, too long
+        follows = ".".join(str(rng.randint(1, 255)) for _ in range(4)) if rng.random() < 0.5 else str(rng.randrange(10**7, 10**16))
+        return f"{entity} {follows}"
+    return rng.choice(["{}.{}.{}", "{}-{}-{}", "({}) {}-{}"]).format(tail[:-7], tail[-7:-4], tail[-4:])
+
+
+def look_alike(kind: str, rng: random.Random) -> str:
+    """Something written like a broken form that is no personal data."""
+    number = lambda n: "".join(rng.choices("0123456789", k=n))
+    if kind == "email":
+        return f"{rng.choice(['look', 'page', 'more', 'held', 'see'])} at {rng.choice(['www', 'docs', 'shop'])}.{rng.choice(['site', 'example', 'store'])}.{rng.choice(['com', 'org', 'net'])}"
+    if kind == "card":
+        digits = number(16)
+        return broken("card", digits, rng) if not luhn(digits) else digits + number(8)
+    if kind == "ip":
+        return broken("ip", ".".join(number(3) for _ in range(4)), rng)
+    return broken("phone", number(10), rng) if rng.random() < 0.7 else number(rng.randint(8, 15))
+
+
+def planted(text: str, base: list[Span]) -> tuple[str, list[Span | tuple[None, int, int]]]:
+    """The text with broken forms put in at spaces outside base spans, and where they and the base spans are in it:
+    (kind or None, start, end).
+
+    Two repeats of its own entities at most, and look-alikes in every other text, some of them twice."""
+    rng = random.Random(zlib.crc32(text.encode()))
+    put: list[tuple[str | None, str, int]] = []  # kind, form, characters of the form that are the entity
+    for kind, s, e in rng.sample(base, min(2, len(base))):
+        form = broken(kind, text[s:e], rng)
+        put.append((kind, form, e - s if form.startswith(text[s:e]) else len(form)))
+    if base and rng.random() < 0.3:
+        name = f"{rng.choice(['ann', 'joe', 'max', 'kim'])}.{rng.randint(1, 99)}@{rng.choice(['mail', 'post'])}{rng.randint(1, 9)}.example.com"
+        form = broken("email", name, rng)
+        put.append(("email" if any(c in form for c in "([{") else None, form, len(form)))
+    if rng.random() < 0.5:
+        form = look_alike(rng.choice(KINDS), rng)
+        put += [(None, form, len(form))] * rng.choice([1, 1, 2])
+    at = []
+    for kind, form, size in put:
+        place = text.find(" ", rng.randrange(len(text) + 1)) if text else -1
+        if place < 0 or any(s <= place < e for _, s, e in base):
+            place = len(text)
+        at.append((place, kind, form, size))
+    at.sort(key=lambda x: x[0])
+    out, labels, done, length = [], [], 0, 0
+    for place, kind, form, size in at:
+        out += [text[done:place], " ", form]
+        length += place - done + 1
+        labels.append((kind, length, length + size))
+        length += len(form)
+        done = place
+    for kind, s, e in base:
+        moved = sum(len(form) + 1 for place, _, form, _ in at if place <= s)
+        labels.append((kind, s + moved, e + moved))
+    return "".join([*out, text[done:]]), labels
+
+
+@dataclass
+class Example:
+    """A training text's nodes, the label of each, and which labels are sure: given by a pattern or planted."""
+
+    nodes: Nodes
+    labels: list[int]
+    sure: list[bool]
+
+
+def training_example(text: str, base: list[Span]) -> Example:
+    text, put = planted(text, base)
+    g = nodes_of(text, base_spans(text))
+    labels, sure = list(g.given), [x > 0 for x in g.given]
+    for kind, start, end in put:
+        for i, (s, e) in enumerate(g.spans):
+            if s < end and e > start and not g.given[i]:
+                labels[i], sure[i] = LABELS.index(kind), True
+    return Example(g, labels, sure)
+
+
 @dataclass
 class Field:
     """Weights: local [feature, label], chain [left label, right label], skip [label, label], bias [label]."""
@@ -146,17 +277,39 @@ class Field:
     bias: np.ndarray
 
 
-def train_field(graphs: list[Nodes], rounds: int = 150, rate: float = 1.0, decay: float = 1e-4) -> Field | None:
-    """Pseudo-likelihood: each label given its neighbours' labels, by gradient steps scaled per weight."""
-    graphs = [g for g in graphs if g.spans]
-    y = np.array([x for g in graphs for x in g.given], np.int64)
+def trained(examples: list[Example], certain: float = 0.5) -> Field | None:
+    """A field from the examples. What patterns miss in the texts themselves has no label; so that it is not learned as
+    none, a field from either half of the examples first labels such nodes of the other half."""
+    halves = examples[::2], examples[1::2]
+    for other, half in (halves, halves[::-1]):
+        field = train_field([(x.nodes, x.labels) for x in other])
+        if field is None or not half:
+            continue
+        p = marginals(field, [x.nodes for x in half])
+        at = 0
+        for x in half:
+            for i, sure in enumerate(x.sure):
+                if not sure and p[at + i].max() >= certain:
+                    x.labels[i] = int(p[at + i].argmax())
+            at += len(x.sure)
+    return train_field([(x.nodes, x.labels) for x in examples])
+
+
+def train_field(graphs: list[tuple[Nodes, list[int]]], rounds: int = 800, rate: float = 0.3, decay: float = 1e-3) -> Field | None:
+    """Pseudo-likelihood of the nodes without a given label, each with its neighbours' labels, by gradient steps scaled
+    per weight. None where no node has a label at all."""
+    graphs = [(g, y) for g, y in graphs if g.spans]
+    y = np.array([x for _, labels in graphs for x in labels], np.int64)
     if not y.any():
         return None
-    n, k = len(y), len(LABELS)
-    starts = np.cumsum([0, *[len(g.spans) for g in graphs]])
-    f = np.array([x for g in graphs for x in g.features], np.int64)
-    chain = np.array([(a + o, b + o) for g, o in zip(graphs, starts, strict=False) for a, b in g.chain], np.int64).reshape(-1, 2)
-    skip = np.array([(a + o, b + o) for g, o in zip(graphs, starts, strict=False) for a, b in g.skip], np.int64).reshape(-1, 2)
+    free = np.array([not x for g, _ in graphs for x in g.given])
+    k, n = len(LABELS), max(1, int(free.sum()))
+    starts = np.cumsum([0, *[len(g.spans) for g, _ in graphs]])
+    f = np.array([x for g, _ in graphs for x in g.features], np.int64)
+    chain, skip = (
+        np.array([(a + o, b + o) for (g, _), o in zip(graphs, starts, strict=False) for a, b in part(g)], np.int64).reshape(-1, 2)
+        for part in (lambda g: g.chain, lambda g: g.skip)
+    )
     one = np.eye(k)[y]
     local, ch, sk, bias = np.zeros((1 << BITS, k)), np.zeros((k, k)), np.zeros((k, k)), np.zeros(k)
     seen = [np.full(x.shape, 1e-8) for x in (local, ch, sk, bias)]
@@ -167,16 +320,16 @@ def train_field(graphs: list[Nodes], rounds: int = 150, rate: float = 1.0, decay
         np.add.at(z, skip[:, 1], sk[y[skip[:, 0]]])
         np.add.at(z, skip[:, 0], sk[y[skip[:, 1]]])
         p = np.exp(z - z.max(1, keepdims=True))
-        g = (p / p.sum(1, keepdims=True) - one) / n
+        g = (p / p.sum(1, keepdims=True) - one) * free[:, None] / n
         g_local = np.stack([np.bincount(f.ravel(), np.repeat(g[:, j], f.shape[1]), 1 << BITS) for j in range(k)], 1)
         g_ch = one[chain[:, 0]].T @ g[chain[:, 1]] + (one[chain[:, 1]].T @ g[chain[:, 0]]).T
         g_sk = one[skip[:, 0]].T @ g[skip[:, 1]] + one[skip[:, 1]].T @ g[skip[:, 0]]
         g_sk = (g_sk + g_sk.T) / 2
-        for w, grad, s in zip((local, ch, sk, bias), (g_local + decay / n * local, g_ch, g_sk, g.sum(0)), seen, strict=True):
+        for w, grad, s in zip((local, ch, sk, bias), (g_local, g_ch, g_sk, g.sum(0)), seen, strict=True):
+            grad = grad + decay / n * w
             s += grad * grad
-            w -= rate * 0.1 * grad / np.sqrt(s)
-    agree = np.full((k, k), -2.0) + np.eye(k) * 4.0  # what repeats say of each other even where the sample has few
-    return Field(local, ch, sk + agree, bias)
+            w -= rate * grad / np.sqrt(s)
+    return Field(local, ch, sk, bias)
 
 
 def marginals(field: Field, graphs: list[Nodes], rounds: int = 8) -> np.ndarray:
@@ -234,7 +387,7 @@ def added_spans(text: str, g: Nodes, p: np.ndarray, base: list[Span], sure: floa
     return out
 
 
-def find_spans(texts: list[str | None], field: Field | None, sure: float = 0.95, most_nodes: int = 20_000) -> list[tuple[list[Span], list[Span]]]:
+def find_spans(texts: list[str | None], field: Field | None, sure: float = 0.8, most_nodes: int = 20_000) -> list[tuple[list[Span], list[Span]]]:
     """(base spans, all spans) of each text, ordered by kind as listed, then start."""
     out: list[tuple[list[Span], list[Span]]] = []
     waiting: list[tuple[int, str, Nodes]] = []
@@ -271,14 +424,32 @@ def find_spans(texts: list[str | None], field: Field | None, sure: float = 0.95,
 
 def train(docs: DataFrame, sample: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> Field | None:
     """The field, from at most ``sample`` documents; none only where no document holds a base span."""
-    ids = docs.select(F.col(id_col).alias("id")).filter("id is not null").distinct().orderBy(F.xxhash64("id"), "id").limit(sample)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "id").filter("text is not null").orderBy(F.xxhash64("id"), "id", F.xxhash64("text")).limit(sample).collect()
+    texts = docs.select(F.xxhash64(F.col(id_col)).alias("h"), F.xxhash64(F.col(text_col)).alias("t"), F.col(text_col).alias("text"))
+    keys = least_keys(texts.filter(F.col(id_col).isNotNull() & F.col("text").isNotNull()).select("h", "t"), sample)
+    rows = texts.join(F.broadcast(keys), ["h", "t"]).orderBy("h", "t").limit(sample).collect()
     found = [(r.text, base_spans(r.text)) for r in rows]
     least = max(1, sample // 10)
     if sum(1 for _, base in found if base) < least:
         held = holders(docs, least, id_col, text_col)
         found = [(t, base_spans(t)) for t in held] + [x for x in found if not x[1]][: sample - len(held)]
-    return train_field([nodes_of(t, base) for t, base in found])
+    if not any(base for _, base in found):
+        return None
+    return trained([training_example(t, base) for t, base in found])
+
+
+def least_keys(keys: DataFrame, most: int) -> DataFrame:
+    """The ``most`` least distinct pairs (h, t); each partition hands on its own ``most`` only, so not all rows are shuffled."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        held = np.zeros((0, 2), np.int64)
+        for batch in batches:
+            new = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)], 1)
+            held = np.unique(np.concatenate([held, new]), axis=0)[:most]
+        yield pa.RecordBatch.from_arrays([pa.array(held[:, 0]), pa.array(held[:, 1])], ["h", "t"])
+
+    return keys.mapInArrow(run, "h long, t long").distinct().orderBy("h", "t").limit(most)
 
 
 def holders(docs: DataFrame, most: int, id_col: str, text_col: str) -> list[str]:
@@ -292,11 +463,11 @@ def holders(docs: DataFrame, most: int, id_col: str, text_col: str) -> list[str]
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(found), batch.column(1).filter(found)], ["h", "t"])
 
     rows = docs.select(F.xxhash64(F.col(id_col)).alias("h"), F.xxhash64(F.col(text_col)).alias("t"), F.col(text_col).alias("text")).filter("text is not null")
-    keys = rows.mapInArrow(run, "h long, t long").distinct().orderBy("h", "t").limit(most)  # keys only: a task sends few bytes
+    keys = least_keys(rows.mapInArrow(run, "h long, t long"), most)  # keys only: a task sends few bytes
     return [r.text for r in rows.join(F.broadcast(keys), ["h", "t"]).orderBy("h", "t").limit(most).collect()]
 
 
-def detect(docs: DataFrame, field: Field | None, id_col: str = "doc_id", text_col: str = "text", sure: float = 0.95) -> DataFrame:
+def detect(docs: DataFrame, field: Field | None, id_col: str = "doc_id", text_col: str = "text", sure: float = 0.8) -> DataFrame:
     """Rows (id, base, spans): arrays of (kind, start, end)."""
     sent = docs.sparkSession.sparkContext.broadcast(field)
     span = "array<struct<kind:string,start:long,end:long>>"
@@ -328,7 +499,7 @@ def mask(text: str | None, spans: list[Span]) -> str | None:
     return "".join([*out, text[at:]])
 
 
-def masked(docs: DataFrame, field: Field | None, text_col: str = "text", sure: float = 0.95) -> Column:
+def masked(docs: DataFrame, field: Field | None, text_col: str = "text", sure: float = 0.8) -> Column:
     """Column: each text of ``docs`` with its personal data masked."""
     sent = docs.sparkSession.sparkContext.broadcast(field)
 
