@@ -12,10 +12,13 @@ pre-tokenised text never holds) that leads back to the start state.
 States are made on first use and kept in one table (next state and count in one integer), up to a bound; beyond it
 the table is emptied and grows again, so memory is bounded whatever the text.
 
-Text runs through the table in many lanes at once. A chunk may start inside a word; only its head, the bytes up to the
-first word end, depends on the state it starts in, so the lanes count all but the heads. Then a sequential loop over
-the chunks runs each head again from the state that the chunk before it ends in. No state maps are built or composed
-(a map would need every state that a lazily compiled table may still grow).
+Text runs through the table in chunks, many at once. What a chunk does to a state that it starts in is a state map: the
+state that it ends in and the tokens counted on the way. Only the chunk's head, the bytes up to its first word end, can
+depend on the start (there may be too many states to write down the map for each of them), so ``StateMaps`` holds the
+head's place, and what follows it: the count, and the end state. Maps of neighbouring chunks compose to a map of the
+same form: the left one's end state decides what the right one's head counts. Composition is associative, so a parallel
+prefix scan (``StateMaps.scan``: pairs are composed level by level, then the states go down the levels again, each level
+at once) gives the state that every chunk starts in.
 
 Null and empty texts have 0 tokens; a text of any length is processed whole; repeated rows are counted one by one.
 """
@@ -173,6 +176,35 @@ class Transducer:
             cells = self.table.ravel().take(states * self.width + cols)
         return cells
 
+    def through(self, states: np.ndarray, cols: np.ndarray, start: np.ndarray, end: np.ndarray, out: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Run spans of the columns, each from its state, all at once: end states and counts. ``out`` takes the change of
+        the count at each place."""
+        states, count, k = states.copy(), np.zeros(len(states), np.int64), 0
+        here = np.flatnonzero(end > start)
+        while len(here) > 4:
+            at = start[here] + k
+            cells = self.step(states[here], cols[at])
+            states[here] = cells >> 8
+            change = (cells & 255) - 128
+            count[here] += change
+            if out is not None:
+                out[at] = change
+            k += 1
+            here = here[end[here] > start[here] + k]
+        for i in here.tolist():  # few long spans: one after another
+            state, total = int(states[i]), 0
+            for at, col in enumerate(cols[start[i] + k : end[i]].tolist(), int(start[i]) + k):
+                cell = int(self.table[state, col])
+                if cell < 0:
+                    self.compile(state, self.bytes_of[col])
+                    cell = int(self.table[state, col])
+                state, change = cell >> 8, (cell & 255) - 128
+                total += change
+                if out is not None:
+                    out[at] = change
+            states[i], count[i] = state, count[i] + total
+        return states, count
+
     def run(self, stream: np.ndarray, lanes: int = 4096) -> np.ndarray:
         """Change of the token count at each byte of a stream that starts at a word's start."""
         n = len(stream)
@@ -185,33 +217,76 @@ class Transducer:
         cols[:n] = self.column[stream]
         by_step = np.ascontiguousarray(cols.reshape(lanes, length).T)
         changes = np.empty((length, lanes), np.int8)
-        # each chunk is UNSYNCED until its first word end, an exact state from there on
-        states = np.full(lanes, UNSYNCED, np.int64)
-        states[0] = ROOT
+        states = np.full(lanes, UNSYNCED, np.int64)  # until a chunk's first word end, exact from there on
         for k in range(length):
             cells = self.step(states, by_step[k])
             states = (cells >> 8).astype(np.int64)
             changes[k] = (cells & 255) - 128
-        # in order: run each chunk's head again from the state that the chunk before it ends in
-        by_chunk = np.ascontiguousarray(changes.T).reshape(-1)
-        chunks = cols.reshape(lanes, length)
-        for k in range(1, lanes):
-            state = int(states[k - 1])
-            if state == ROOT and chunks[k, 0] == self.column[WORD_END]:
-                continue
-            at, end = k * length, False
-            for col in chunks[k].tolist():
-                cell = int(self.table[state, col])
-                if cell < 0:
-                    self.compile(state, self.bytes_of[col])
-                    cell = int(self.table[state, col])
-                by_chunk[at] = (cell & 255) - 128
-                state, at, end = cell >> 8, at + 1, col == self.column[WORD_END]
-                if end:
-                    break
-            if not end:
-                states[k] = state
-        return by_chunk[:n]
+        by_chunk = np.ascontiguousarray(changes.T)
+        maps = StateMaps.of_chunks(self, cols, by_chunk, states)
+        enter, _ = maps.scan(ROOT)
+        out = by_chunk.reshape(-1)
+        self.through(enter, cols, maps.start, maps.head, out)
+        return out[:n]
+
+
+@dataclass
+class StateMaps:
+    """What spans of the columns do to the state, one span a row: the bytes from ``start`` to ``head`` run from the state
+    that the span starts in; after them ``count`` tokens follow, and the span ends in the state ``to``. Where ``to`` is
+    UNSYNCED the span holds no word end: its head is all of it, and leads each state to one of its own."""
+
+    machine: Transducer
+    cols: np.ndarray
+    start: np.ndarray
+    head: np.ndarray
+    count: np.ndarray
+    to: np.ndarray
+
+    @classmethod
+    def of_chunks(cls, machine: Transducer, cols: np.ndarray, changes: np.ndarray, to: np.ndarray) -> StateMaps:
+        """The maps of the chunks (rows of ``changes``), which were run from the state UNSYNCED and ended in ``to``."""
+        lanes, length = changes.shape
+        ends = cols.reshape(lanes, length) == machine.column[WORD_END]
+        size = np.where(ends.any(1), ends.argmax(1) + 1, length)
+        start = np.arange(lanes) * length
+        after = np.arange(length) >= size[:, None]
+        return cls(machine, cols, start, start + size, np.where(after, changes, 0).sum(1, dtype=np.int64), to.copy())
+
+    def rows(self, which: slice | np.ndarray) -> StateMaps:
+        return StateMaps(self.machine, self.cols, *(x[which] for x in (self.start, self.head, self.count, self.to)))
+
+    def apply(self, states: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The state that each span leads its state to, and the tokens on the way."""
+        end, count = self.machine.through(states, self.cols, self.start, self.head)
+        return np.where(self.to == UNSYNCED, end, self.to), count + self.count
+
+    def compose(self, later: StateMaps) -> StateMaps:
+        """Each span and the one of ``later`` that follows it, as one."""
+        whole = self.to == UNSYNCED
+        known = ~whole
+        to, count = later.to.copy(), later.count.copy()
+        if known.any():
+            to[known], more = later.rows(known).apply(self.to[known])
+            count[known] = self.count[known] + more
+        return StateMaps(self.machine, self.cols, self.start, np.where(whole, later.head, self.head), count, to)
+
+    def scan(self, state: int) -> tuple[np.ndarray, np.ndarray]:
+        """The state before each span, and the tokens before it, if the first one starts in ``state``."""
+        n = len(self.to)
+        if n == 1:
+            return np.array([state], np.int64), np.zeros(1, np.int64)
+        left, right = self.rows(slice(0, n - 1, 2)), self.rows(slice(1, n, 2))
+        pairs = left.compose(right)
+        if n % 2:
+            last = self.rows(slice(n - 1, n))
+            pairs = StateMaps(self.machine, self.cols, *(np.concatenate([getattr(pairs, f), getattr(last, f)]) for f in ("start", "head", "count", "to")))
+        states, counts = np.empty(n, np.int64), np.empty(n, np.int64)
+        states[::2], counts[::2] = pairs.scan(state)
+        k = len(left.to)
+        states[1::2], more = left.apply(states[::2][:k])
+        counts[1::2] = counts[::2][:k] + more
+        return states, counts
 
 
 class Counter:
