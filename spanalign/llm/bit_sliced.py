@@ -12,7 +12,8 @@ no task holds more than one index block and one query block, and only k rows lea
 
 Defined results: vectors that are null or hold null or non-finite components take no part, and neither do rows without
 an id; shorter vectors count as padded with zeros; a query is not compared with rows of its own id; of repeated query
-ids the smallest vector asks; candidates that repeat an id stay separate rows; an empty table gives no rows. Sums are as wide as
+ids the smallest vector asks; candidates that repeat an id stay separate rows (of equal
+rows, the k that an answer can hold); an empty table gives no rows. Sums are as wide as
 the data need; only a quantised component or a block's best score that is no 64-bit integer itself raises an error.
 """
 
@@ -142,7 +143,7 @@ def quantised(vector: str, factor: float = 256.0) -> Column:
     return F.when(fine, F.transform(x, lambda v: F.floor(v.cast("double") * factor).cast("long")))
 
 
-def top_inner_products(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", factor: float = 256.0, index_rows: int = 8192, query_rows: int = 256) -> DataFrame:
+def top_inner_products(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", factor: float = 256.0, index_rows: int = 8192, query_rows: int = 8192) -> DataFrame:
     """Rows (query_id, rank, id, score): for each row that ``is_query`` holds for, its ``k`` largest inner products."""
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), quantised(vector_col, factor).alias("q"), is_query.alias("asks")).filter("q is not null and id is not null")
     n, asking = rows.agg(F.count("*"), F.count_if("asks")).first()
@@ -160,7 +161,9 @@ def top_inner_products(vectors: DataFrame, is_query: Column, k: int = 5, id_col:
         ids = pdf.id.to_numpy(np.int64)
         return pd.DataFrame({"block": [key[0]], "ids": [ids.tobytes()], "slices": [slices.tobytes()], "dims": [dims], "width": [slices.shape[1]], "offset": [offset]})
 
-    index = rows.select(F.pmod(F.xxhash64("id", "q"), F.lit(index_blocks)).cast("int").alias("block"), "id", "q").groupBy("block").applyInPandas(pack, "block int, ids binary, slices binary, dims int, width int, offset long")
+    # of repeated rows k are enough for any answer; counted before the shuffle, so that they never meet in one block
+    held = rows.groupBy("id", "q").agg(F.count("*").alias("n")).select("id", "q", F.explode(F.array_repeat(F.lit(0), F.least("n", F.lit(k)).cast("int"))).alias("one"))
+    index = held.select(F.pmod(F.xxhash64("id", "q"), F.lit(index_blocks)).cast("int").alias("block"), "id", "q").groupBy("block").applyInPandas(pack, "block int, ids binary, slices binary, dims int, width int, offset long")
     index = stored(index).select("*", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("asked"))
     queries = rows.filter("asks").groupBy("id").agg(F.min("q").alias("q"))
     queries = queries.select("id", "q", F.pmod(F.xxhash64("id"), F.lit(query_blocks)).cast("int").alias("asked"), F.explode(F.sequence(F.lit(0), F.lit(index_blocks - 1))).alias("block"))
