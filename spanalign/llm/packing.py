@@ -6,10 +6,11 @@ against the items still waiting (how well would they fill it?), and the size wit
 opened. When all items are placed, each bin is downsized to the least permitted length that holds its contents.
 
 Documents longer than the largest length are cut into pieces of that length and a rest. Documents are dealt into groups
-of about ``group_rows`` by a hash of id and text, and groups are packed on their own: a task holds one group's lengths
-at a time, whatever the input's size, at the price of the last bins of each group.
+of about ``group_rows`` by a hash of id, text and the row's place in its partition (so that repeated rows spread), and
+groups are packed on their own: a task holds one group's lengths at a time, whatever the input's size, at the price of
+the last bins of each group.
 
-Defined results: an empty or null text is one piece of length 0; repeated rows are packed as often as they occur; an
+Defined results: equal lengths are taken in order of id, then start; an empty or null text is one piece of length 0; repeated rows are packed as often as they occur; an
 empty table gives no rows; other columns are not read.
 """
 
@@ -87,7 +88,7 @@ def pack_documents(docs: DataFrame, permitted: Sequence[int] = LENGTHS, costs: S
     most = permitted[-1]
     size = utf8_size(text_col) if length_col is None else F.greatest(F.coalesce(F.col(length_col), F.lit(0)), F.lit(0)).cast("long")
     groups = max(1, math.ceil(docs.count() / group_rows))
-    items = docs.select(F.col(id_col).alias("id"), size.alias("size"), F.pmod(F.xxhash64(id_col, text_col), F.lit(groups)).alias("grp"))
+    items = docs.select(F.col(id_col).alias("id"), size.alias("size"), F.pmod(F.xxhash64(id_col, text_col, F.monotonically_increasing_id()), F.lit(groups)).alias("grp"))
     items = items.select("grp", "id", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0).cast("long"), F.expr(f"(size - 1) div {most}")))).alias("piece"))
     items = items.select("grp", "id", "piece", (F.col("piece") * most).alias("start"), F.least(F.col("size") - F.col("piece") * most, F.lit(most)).alias("length"))
 
