@@ -61,9 +61,9 @@ LABELLED = (
     https://docs.example.com/guide/start
     https://www.university.example.net/research/papers/7
     http://blog.theron.example.com/en/960
-    https://thther.example.org/en/685
-    https://www.ththen.example.com/en/148.html
-    https://m.therou.example.com/en/474.html
+    https://orchard.example.org/en/apples
+    https://www.harbour.example.com/en/tides.html
+    https://m.theatre.example.com/en/plays.html
     http://blog.thon.example.net/en/369#top
     https://ingtion.example.org/es/978?page=2&ref=x
     https://garden.example.com/fr/plants/rose

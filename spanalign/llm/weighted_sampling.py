@@ -7,7 +7,8 @@ equal to the generalised Jaccard similarity of their weights (sum of least weigh
 of equal samples estimates it. A fingerprint is 32 samples, each as a 32-bit hash of (w, t).
 
 DataFrame functions only, with one shuffle of the texts: rows are dealt into buckets of neighbouring ids (quantiles of the id
-column, at most ``most_buckets`` numbers on the driver); the first row of a bucket also goes to the bucket before it, as a
+column, at most ``most_buckets`` numbers on the driver and in the plan: with more rows buckets grow, and are sorted with
+spilling, but the result is the same); the first row of a bucket also goes to the bucket before it, as a
 ghost, so every row finds its successor's text and fingerprint in its own bucket. Words are counted and samples
 taken within the bucket's partition, as hash aggregates of plain numbers.
 
