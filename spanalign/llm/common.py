@@ -59,6 +59,20 @@ def free_name(columns: list[str], name: str) -> str:
     return name
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Whole texts go to Python in batches of so many rows, unless the session asks for fewer: a worker's memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
+def slices(batches: Iterator, rows: int) -> Iterator:
+    """The Arrow batches in parts of at most ``rows`` rows, so that a worker holds few Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def utf8_size(text: str | object) -> object:
     """Column: UTF-8 bytes of a text column, null counts as empty."""
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")

@@ -33,6 +33,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 KINDS = ("email", "ip", "card", "phone")
 LABELS = (None, *KINDS)
 Span = tuple[str, int, int]
@@ -458,7 +460,7 @@ def holders(docs: DataFrame, most: int, id_col: str, text_col: str) -> list[str]
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in slices(batches, 1024):
             found = pa.array([bool(base_spans(x.as_py())) for x in batch.column(2)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(found), batch.column(1).filter(found)], ["h", "t"])
 
@@ -507,7 +509,10 @@ def masked(docs: DataFrame, field: Field | None, text_col: str = "text", sure: f
     def run(text):
         import pandas as pd
 
-        texts = [t if isinstance(t, str) else None for t in text]
-        return pd.Series([mask(t, s) for t, (_, s) in zip(texts, find_spans(texts, sent.value, sure), strict=True)], dtype=object)
+        out = []
+        for at in range(0, len(text), 1024):
+            texts = [t if isinstance(t, str) else None for t in text.iloc[at : at + 1024]]
+            out += [mask(t, s) for t, (_, s) in zip(texts, find_spans(texts, sent.value, sure), strict=True)]
+        return pd.Series(out, dtype=object)
 
     return run(F.col(text_col))

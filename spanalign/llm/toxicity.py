@@ -34,7 +34,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, free_name, stored
+from .common import discard, free_name, slices, stored
 
 # Insults that vote without any labels.
 INSULTS = (
@@ -97,7 +97,7 @@ class Model:
             for w, times in words_of(text).items():
                 got = known.get(w)
                 if got is None:
-                    if len(known) > 500_000:
+                    if len(known) > 200_000:
                         known.clear()
                     got = known[w] = tuple(t for t in terms_of(w) if t in plain)
                 for t in got:
@@ -231,9 +231,9 @@ def telling_terms(sample: DataFrame, n: tuple[int, int], most: int) -> list[str]
     def held(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            lists = [sorted(held_terms(x.as_py())) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.list_(pa.string()))], ["y", "terms"])
+        for part in slices(batches, 32):
+            lists = [sorted(held_terms(x.as_py())) for x in part.column(1)]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lists, pa.list_(pa.string()))], ["y", "terms"])
 
     rows = sample.select("y", "text").mapInArrow(held, "y int, terms array<string>").select("y", F.explode("terms").alias("term"))
     counts = rows.groupBy("term").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
@@ -255,7 +255,9 @@ def train(docs: DataFrame, labels: DataFrame, may_train: Column | None = None, p
     ids = picked[0].unionByName(picked[1])
     spark, scratch = docs.sparkSession, []
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "id")
-    sample = stored(texts.select("id", "y", "text").orderBy(F.xxhash64("id"), F.xxhash64("text")).limit(2 * per_class), scratch)
+    sample = stored(texts.select("id", "y", "text").repartition(16, "id", F.xxhash64("text")), scratch)
+    if sample.count() > 2 * per_class:  # ids repeat
+        sample = stored(sample.orderBy(F.xxhash64("id"), F.xxhash64("text")).limit(2 * per_class), scratch)
     n = {r.y: r.n for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     terms = telling_terms(sample, (n[0], n[1]), most_terms) if len(n) == 2 else []
     terms += [t for t in SEEDS if t not in set(terms)]
@@ -264,10 +266,10 @@ def train(docs: DataFrame, labels: DataFrame, may_train: Column | None = None, p
     def held(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            texts = [x.as_py() for x in batch.column(1)]
+        for part in slices(batches, 256):
+            texts = [x.as_py() for x in part.column(1)]
             found = [sorted(place[t] for t in held_terms(x) if t in place) for x in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32())), pa.array([patterns_of(x) for x in texts], pa.list_(pa.int32()))], ["y", "held", "patterns"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int32())), pa.array([patterns_of(x) for x in texts], pa.list_(pa.int32()))], ["y", "held", "patterns"])
 
     rows = sample.select("y", "text").mapInArrow(held, "y int, held array<int>, patterns array<int>").collect()
     discard(spark, scratch)
