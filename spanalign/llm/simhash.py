@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, free_name, stored
+from .common import discard, free_name, slices, stored
 from .components import components
 
 BLOCKS, SAMPLED = 12, 3
@@ -110,18 +110,24 @@ def simhash_components(docs: DataFrame, words_per_shingle: int = 3, id_col: str
     return rows.join(of_fp, "fp", "left").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def sampled_blocks(hashes: np.ndarray) -> list[int]:
+#: What each block adds to the hashes before they are mixed.
+SEEDS = np.array([0x9E3779B97F4A7C15 * (2 * t + 1) & (1 << 64) - 1 for t in range(BLOCKS)], np.uint64)[:, None]
+
+
+def sampled_blocks(hashes: np.ndarray, most: int = 1 << 14) -> np.ndarray:
     """The twelve blocks: bitwise majority of the three least shingle hashes under each block's own hash."""
-    out = []
-    with np.errstate(over="ignore"):
-        for t in range(BLOCKS):
-            x = (hashes ^ np.uint64(0x9E3779B97F4A7C15 * (2 * t + 1) & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
-            x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
-            x ^= x >> np.uint64(29)
-            least = np.sort(np.partition(x, SAMPLED - 1)[:SAMPLED]) if len(x) > SAMPLED else np.sort(x)
-            a, b, c = (int(v) for v in np.resize(least, 3))
-            out.append(signed((a & b) | (a & c) | (b & c)))
-    return out
+
+    def least(x: np.ndarray) -> np.ndarray:
+        return np.partition(x, SAMPLED - 1, axis=1)[:, :SAMPLED] if x.shape[1] > SAMPLED else x
+
+    parts = []
+    for at in range(0, len(hashes), most):
+        x = (hashes[None, at : at + most] ^ SEEDS) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+        parts.append(least(x ^ (x >> np.uint64(29))))
+    x = np.sort(least(np.concatenate(parts, 1)), 1)
+    a, b, c = (x[:, i % x.shape[1]] for i in range(SAMPLED))
+    return ((a & b) | (a & c) | (b & c)).view(np.int64)
 
 
 def with_shingles(docs: DataFrame, words_per_shingle: int, id_col: str, text_col: str) -> DataFrame:
@@ -130,7 +136,7 @@ def with_shingles(docs: DataFrame, words_per_shingle: int, id_col: str, text_col
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in slices(batches, 1024):
             blocks, sets = [], []
             for x in batch.column(2):
                 h = shingle_hashes(x.as_py(), words_per_shingle)
@@ -317,6 +323,15 @@ def without(pairs: DataFrame, compared: DataFrame) -> DataFrame:
     return pairs.join(done, ["a", "b"], "left_anti")
 
 
+#: So many 64-bit keys at most are broadcast (32 MB).
+MOST_SENT = 4_000_000
+
+
+def small_side(keys: DataFrame) -> DataFrame:
+    """The table of one long column, to be broadcast if its rows are few enough; else a join shuffles both sides."""
+    return F.broadcast(keys) if keys.count() <= MOST_SENT else keys
+
+
 def near_duplicate_groups(docs: DataFrame, words_per_shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", few: int = 96, heads: int = 4, turns: int = 1) -> DataFrame:
     """Rows (id, text_key, copies, keeper) for each distinct (id, text): how many rows repeat it, and whether it is the one
     of its group that stays (the least id). Groups are the components of links of ``similarity`` or more.
@@ -338,6 +353,7 @@ def near_duplicate_groups(docs: DataFrame, words_per_shingle: int = 5, similarit
     shared = keyed.groupBy("c", "key").agg(F.count("*").alias("n")).filter("n > 1")
     keyed = stored(keyed.join(shared.select("c", "key"), ["c", "key"]), scratch)
     needed = keyed.select("rk").distinct()
+    needed = small_side(stored(needed, scratch))
     sets = stored(rows.join(needed, rows.row == needed.rk, "left_semi").select(F.col("row").alias("rk"), "shingles"), scratch)
     discard(spark, fat)
 
@@ -390,12 +406,14 @@ def drop_near_duplicates(docs: DataFrame, words_per_shingle: int = 5, similarity
     key, own = free_name(docs.columns, "__text_key"), free_name(docs.columns, "__id")
     marked = docs.select(*columns, text_key(text_col).alias(key), F.col(id_col).cast("long").alias(own))
     same = lambda g: F.col(key).eqNullSafe(g.text_key) & F.col(own).eqNullSafe(g.id)
-    gone = groups.filter("not keeper").select("id", "text_key")
-    kept = marked.join(gone, same(gone), "left_anti")
-    repeated = groups.filter("keeper and copies > 1").select("id", "text_key")
-    if not repeated.isEmpty():
-        again = kept.join(repeated, same(repeated), "left_semi")
-        row = F.struct(*columns)
-        again = again.groupBy(key, own).agg(F.min_by(row, F.to_json(row)).alias(key + "_row")).select(f"{key}_row.*")
-        return kept.join(repeated, same(repeated), "left_anti").select(*columns).unionByName(again)
-    return kept.select(*columns)
+    left = groups.filter("not keeper or copies > 1")
+    gone, repeated = (left.filter(x).select("id", "text_key") for x in ("not keeper", "keeper"))
+    # rows that a short hash tells apart from all that go or repeat stay where they are; only the others are shuffled
+    short = small_side(left.select(F.xxhash64("id", "text_key").alias("h")).distinct())
+    touched = F.xxhash64(own, key) == short.h
+    rest = marked.join(short, touched, "left_semi").join(gone, same(gone), "left_anti")
+    row = F.struct(*columns)
+    again = rest.join(repeated, same(repeated), "left_semi").groupBy(key, own).agg(F.min_by(row, F.to_json(row)).alias(key + "_row"))
+    kept = marked.join(short, touched, "left_anti").select(*columns)
+    kept = kept.unionByName(rest.join(repeated, same(repeated), "left_anti").select(*columns))
+    return kept if repeated.isEmpty() else kept.unionByName(again.select(f"{key}_row.*"))

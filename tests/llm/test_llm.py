@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from functools import reduce
 
 import numpy as np
 import pytest
@@ -48,6 +49,38 @@ def test_token_counts_equal_the_library(spark, odd, none):
     assert token_transducer.token_counts(none, path).count() == 0
 
 
+def test_state_maps_compose_and_scan():
+    machine = token_transducer.Counter(open(public_tokenizers.path("word_bpe_49k.json"), "rb").read()).machine
+    rng = random.Random(11)
+    words = ["the", "ing", "x", "quick", "a" * 300, "zz9", "transducer", "ab" * 120]
+    for size in (1, 5, 60, 400):
+        stream = np.frombuffer("".join(rng.choice(words) + "\n" for _ in range(size)).encode(), np.uint8)
+        machine.prepare(stream)
+        cols = machine.column[stream]
+        want = np.zeros(len(cols), np.int64)  # one byte after another
+        states, state = [token_transducer.ROOT], token_transducer.ROOT
+        for i, col in enumerate(cols):
+            (state,), (want[i],) = machine.through(np.array([state]), cols, np.array([i]), np.array([i + 1]))
+            states.append(int(state))
+        for lanes in (1, 2, 3, 7, 64, 500):  # any chunking
+            assert machine.run(stream, lanes).tolist() == want.tolist()
+        for length in (1, 3, 17, 256):
+            n = -(-len(cols) // length)
+            padded = np.concatenate([cols, np.full(n * length - len(cols), machine.column[10])])
+            changes = np.zeros((n, length), np.int8)
+            to = np.array([machine.through(np.array([1]), padded, np.array([k * length]), np.array([(k + 1) * length]), changes.reshape(-1))[0][0] for k in range(n)])
+            maps = token_transducer.StateMaps.of_chunks(machine, padded, changes, to)
+            before, counts = maps.scan(token_transducer.ROOT)
+            assert before.tolist() == states[: len(cols) : length] and counts.tolist() == [int(want[: k * length].sum()) for k in range(n)]
+            if n > 6:
+                cut = sorted(rng.sample(range(1, n), 3))
+                span = lambda a, b: reduce(lambda x, k: x.compose(maps.rows(slice(k, k + 1))), range(a + 1, b), maps.rows(slice(a, a + 1)))
+                x, y, z = span(0, cut[0]), span(cut[0], cut[1]), span(cut[1], cut[2])
+                left, right = x.compose(y).compose(z), x.compose(y.compose(z))
+                for f in ("start", "head", "count", "to"):
+                    assert getattr(left, f).tolist() == getattr(right, f).tolist()
+
+
 def test_bit_sliced_brute_force(spark):
     rng = np.random.default_rng(0)
     rows = [(i, rng.integers(-300, 300, 6).astype(float) / 64 if i % 3 else np.round(rng.normal(size=6))) for i in range(200)]
@@ -65,6 +98,9 @@ def test_bit_sliced_brute_force(spark):
         top = sorted(((-sum(a * b for a, b in zip(q, x, strict=False)), j) for j, x in fine if j != i))[:5]
         assert sorted(got[i]) == [(k + 1, j, -s) for k, (s, j) in enumerate(top)], i
     assert bit_sliced.top_inner_products(df.limit(0), F.col("vec_id") > 0).count() == 0
+    again = spark.createDataFrame([(1, [1.0])] + [(2, [2.0])] * 500 + [(3, [-1.0])] * 3, "vec_id long, embedding array<double>")
+    best = bit_sliced.top_inner_products(again, F.col("vec_id") == 1, k=7, index_rows=10).collect()
+    assert sorted((r.rank, r.vec_id) for r in best) == [(i, 2) for i in range(1, 8)]
 
 
 def test_bit_sliced_large_components(spark):
@@ -101,6 +137,62 @@ def test_packing(spark, odd, none):
     assert packing.pack_documents(none).count() == 0
 
 
+def test_packing_brute_force():
+    """Best fit, opening and downsizing as the rules say them, by looking at every bin for every item."""
+    rng = random.Random(12)
+    sizes, costs = [8, 16, 40], [1.0, 1.8, 4.0]
+
+    def naive(items):
+        waiting, bins, place = sorted(range(len(items)), key=lambda i: (-items[i], i)), [], {}
+        while waiting:
+            i = waiting.pop(0)
+            fits = [(size - sum(items[j] for j in held), b) for b, (size, held) in enumerate(bins) if size - sum(items[j] for j in held) >= items[i]]
+            if not fits:
+                best = []
+                for size, cost in zip(sizes, costs, strict=True):
+                    if size >= items[i]:
+                        left = size - items[i]
+                        for j in waiting:
+                            left -= items[j] if items[j] <= left else 0
+                        best.append((cost / max(1, size - left), size))
+                bins.append((min(best)[1], []))
+                b = len(bins) - 1
+            else:
+                b = min(fits)[1]
+            place[i] = (b, sum(items[j] for j in bins[b][1]))
+            bins[b][1].append(i)
+        content = [sum(items[j] for j in held) for _, held in bins]
+        return [place[i][0] for i in range(len(items))], [place[i][1] for i in range(len(items))], [min(s for s in sizes if s >= c) for c in content]
+
+    for _ in range(300):
+        items = [rng.choice([0, rng.randint(1, 40), 8, 3]) for _ in range(rng.randint(0, 25))]
+        assert packing.pack(items, sizes, costs) == naive(items), items
+
+
+def test_repeated_rows_are_packed_in_several_groups(spark):
+    docs = spark.range(5000).select(F.lit(1).cast("long").alias("doc_id"), F.lit("x" * 100).alias("text"))
+    got = packing.pack_documents(docs, group_rows=500)
+    assert got.count() == 5000 and got.groupBy(F.expr("bin_id div 16777216")).count().agg(F.max("count")).first()[0] < 1500
+
+
+def test_url_filter_rules_and_held_out(spark):
+    rng = random.Random(13)
+    rules = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
+    urls = ["".join(rng.choices(["http", "://", "a.", "example", ".net", ".com", ".org", "net", "/", "/en/", "/de/", "/fr/", "?", "#", "X.Example.NET", "é"], k=rng.randint(0, 7))) for _ in range(1500)]
+    rows = {r.page_id: r for r in url_filter.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules).collect()}
+    weights, bias = url_filter.train()
+    for i, u in enumerate(urls):
+        host, path = url_filter.split_url(u)
+        fits = [(len(r), r, v) for r, v in rules for h, p in [r.split("/", 1)] if (host == h or host.endswith("." + h)) and path.startswith("/" + p)]
+        want = max(fits)[1:] if fits else (None, "block" if url_filter.probability(host, path, weights.astype(np.float32), bias) >= 0.5 else "allow")
+        assert (rows[i].host, rows[i].path, rows[i].rule, rows[i].verdict) == (host, path, *want), u
+    right = 0
+    for k in range(5):
+        w, b = url_filter.train([x for i, x in enumerate(url_filter.LABELLED) if i % 5 != k])
+        right += sum((url_filter.probability(*url_filter.split_url(u), w, b) >= 0.5) == (y == 1) for i, (u, y) in enumerate(url_filter.LABELLED) if i % 5 == k)
+    assert right >= 0.85 * len(url_filter.LABELLED)
+
+
 def test_url_filter(spark):
     urls = ["https://A.Example.NET/en/1?x#y", "http://a.example.net/de/", "http://net", "http://x.net?q=/en/", "x", None, "http://example.com/de/q", "http://notexample.com/de/q", "https://w.org/fr/", "https://www.cheap-pills.example.com/en/4", "https://blog.ththon.example.org/en/9"]
     rules = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
@@ -134,6 +226,17 @@ def test_components(spark):
     assert got == {n: c for n, c in want.items() if list(want.values()).count(c) > 1}
 
 
+def test_fingerprints_naive():
+    from xxhash import xxh64_intdigest
+
+    for text in [t or "" for _, t in ODD[:8]] + fuzz(["A", "b", "Ä", " ", "  ", "\n", "\t", "\x0b", "\x1c", "é", "word ", "Word"], 300, 40, 14):
+        words = [w for w in __import__("re").split("[\x20\x09-\x0d]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)) if w]
+        shingles = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] if len(words) >= 3 else [" ".join(words)] if words else []
+        h = [xxh64_intdigest(s.encode(), 42) for s in shingles]
+        want = sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+        assert simhash.fingerprint(simhash.shingle_hashes(text, 3)) == want, text
+
+
 @pytest.mark.parametrize("few", [128, 2])
 def test_simhash_brute_force(spark, odd, none, few):
     rng = random.Random(3)
@@ -279,7 +382,38 @@ def test_toxicity_held_out(spark, odd, none):
     assert sum((r.s >= 0.5) == (truth[r.doc_id] == 1) for r in got if r.h) >= 0.97 * sum(r.h for r in got)
     assert toxicity.without_toxic(odd, model).columns == odd.columns and toxicity.without_toxic(odd, model).count() == len(ODD)
     assert toxicity.without_toxic(none, toxicity.train(none, known)).count() == 0
-    assert toxicity.fit([]).scores(["you idiot", None])[0] > 0.5
+    assert toxicity.fit(toxicity.SEEDS, []).scores(["you idiot", None])[0] > 0.5
+    again = spark.createDataFrame([(7, "same id " * k, 0) for k in range(1, 40)] + [(8, "zorkel", 1)], "doc_id long, text string, __toxicity int")
+    small = toxicity.train(again, spark.createDataFrame([(7, 0), (8, 1)], "doc_id long, toxic int"), per_class=5)
+    assert toxicity.without_toxic(again, small).columns == again.columns
+
+
+def test_label_model_posterior_against_enumeration():
+    import itertools
+
+    rng = np.random.default_rng(5)
+    for _ in range(5):
+        a, c, w = rng.normal(size=4), rng.normal(size=4), rng.normal(size=(4, 4))
+        w = np.triu(w, 1) + np.triu(w, 1).T
+        votes = np.array(list(itertools.product((0, 1), repeat=4)))
+        joint = np.stack([votes @ (a + y * c) + (votes @ w * votes).sum(1) / 2 + 0.3 * y for y in (0, 1)], 1)
+        joint = np.exp(joint) / np.exp(joint).sum()
+        model = toxicity.LabelModel(a, c, w, 0.0)
+        model.bias = toxicity.balanced(votes @ c, joint.sum(1), joint[:, 1].sum())
+        assert np.allclose(model.posterior(votes), joint[:, 1] / joint.sum(1), atol=1e-9)
+
+
+def test_label_model_learns_accuracies_and_repeats():
+    rng = np.random.default_rng(6)
+    y = rng.random(6000) < 0.3
+    vote = lambda hit, false: np.where(y, rng.random(6000) < hit, rng.random(6000) < false).astype(int)
+    votes = np.stack([vote(0.8, 0.1), vote(0.6, 0.1), vote(0.6, 0.1), vote(0.3, 0.3), vote(0.9, 0.05)], 1)
+    votes = np.column_stack([votes[:, :3], np.where(rng.random(6000) < 0.95, votes[:, 1], vote(0.6, 0.1)), votes[:, 3:]])
+    model = toxicity.label_model(votes, 0.3, alone=1)
+    odds = lambda hit, false: np.log(hit / (1 - hit) / (false / (1 - false)))
+    assert abs(model.c[0] - odds(0.8, 0.1)) < 0.5 and abs(model.c[2] - odds(0.6, 0.1)) < 0.5 and model.c[4] < 0.3 and abs(model.c[5] - odds(0.9, 0.05)) < 1
+    assert model.w[1, 3] > 2 and model.c[1] + model.c[3] < 1.4 * odds(0.6, 0.1)  # two voters that repeat each other count about once
+    assert np.abs(model.w[5]).max() == 0 and ((model.posterior(votes) >= 0.5) == y).mean() > ((votes[:, 5] == y).mean() + 0.01)
 
 
 def test_weighted_sampling(spark, odd, none):
@@ -306,6 +440,37 @@ def test_weighted_sampling(spark, odd, none):
     assert weighted_sampling.fingerprints(none).count() == 0
 
 
+def test_weighted_samples_by_brute_force(spark):
+    import math
+    import struct
+    from collections import Counter
+
+    from xxhash import xxh64_intdigest as h64
+
+    def samples(text):
+        out = []
+        for k in range(weighted_sampling.SAMPLES):
+            values = []
+            for word, n in Counter(text.split()).items():
+                h = h64(struct.pack("<Q", h64(word.encode(), 42)), 42)
+                x, y = (h64(struct.pack("<i", 2 * k + i), h) for i in (0, 1))
+                u = [(x >> s & 65535) + 0.5 for s in (0, 16, 32, 48)]
+                r = -math.log(u[0] / 65536 * u[1] / 65536)
+                c = math.log(-math.log(u[2] / 65536 * u[3] / 65536))
+                b = ((y & 0xFFFFFFFF) + 0.5) / 2**32
+                t = math.floor(math.log(n) / r + b)
+                a = c - r * (t - b + 1)
+                values.append((math.trunc((a + 128) * 2**23), h64(struct.pack("<q", t), h64(struct.pack("<Q", y), 42)) & 0xFFFFFFFF))
+            out.append(min(values)[1] if values else 0)
+        return out
+
+    rng = random.Random(15)
+    rows = [(i, " ".join(rng.choices([f"w{k}" for k in range(40)], k=rng.randint(0, 150)))) for i in range(40)]
+    got = {r.doc_id: r.fingerprint for r in weighted_sampling.fingerprints(docs_of(spark, rows)).collect()}
+    pairs = [(int(got[i][8 * k : 8 * k + 8], 16), v) for i, t in rows for k, v in enumerate(samples(t))]
+    assert sum(a == b for a, b in pairs) >= 0.999 * len(pairs)  # logarithms may differ in the last bit
+
+
 def test_personal_data(spark, odd, none):
     import re
 
@@ -335,6 +500,95 @@ def test_personal_data(spark, odd, none):
     assert pii.train(none) is None and pii.detect(none, None).count() == 0
 
 
+def talks(n, seed):
+    """Texts of made-up words, each with one entity of some kind."""
+    rng = random.Random(seed)
+
+    def card():
+        while not pii.luhn(d := "".join(rng.choices("0123456789", k=16))):
+            pass
+        return d
+
+    words = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 8))) for _ in range(300)]
+    kinds = [
+        lambda: f"{rng.choice(words)}.{rng.randint(1, 99)}@mail{rng.randint(1, 9)}.example.com",
+        lambda: ".".join(str(rng.randint(1, 255)) for _ in range(4)),
+        card,
+        lambda: f"+1 ({rng.randint(200, 999)}) 555-{rng.randint(1000, 9999)}",
+    ]
+    said = lambda: " ".join(rng.choices(words, k=rng.randint(5, 60)))
+    return [f"{said()} {kinds[i % 4]()} {said()}" if i % 3 else f"{said()} {rng.randint(0, 10**16)} {said()}" for i in range(n)]
+
+
+@pytest.fixture(scope="module")
+def field():
+    return pii.trained([pii.training_example(t, pii.base_spans(t)) for t in talks(1200, 1)])
+
+
+def test_field_finds_broken_repeats_over_skip_factors(field):
+    plain = pii.Field(field.local, field.chain, 0 * field.skip, field.bias)
+    filler = "lorem ipsum dolor sit amet " * 30
+    by_skip = 0
+    for entity, form in (("4111111111111111", "4111.1111.1111.1111"), ("4929348385146306", "4929/3483/8514/6306"), ("97.51.17.173", "97-51-17-173"), ("+1 (974) 555-3436", "974.555.3436")):
+        text = f"{filler}{entity} {filler}{form} {filler}"
+        base, spans = pii.find_spans([text], field)[0]
+        at = text.index(form)
+        assert len(base) == 1 and set(base) <= set(spans)
+        alone = pii.find_spans([text.replace(entity, "word")], field)[0][1]
+        held = [any(s < at + len(form) and e > at for _, s, e in found) for found in (spans, pii.find_spans([text], plain)[0][1])]
+        by_skip += held == [True, False] and not alone
+    assert by_skip >= 2  # found only because a repeat of the same digits far away is known
+    tp = fn = fp = 0
+    for t in talks(600, 2):
+        text, put = pii.planted(t, pii.base_spans(t))
+        base, spans = pii.find_spans([text], field)[0]
+        more = [x for x in spans if x not in base]
+        hidden = [x for x in put if x[0] and x not in base]
+        hit = [any(k == x[0] and x[1] < e and x[2] > s for x in more) for k, s, e in hidden]
+        tp, fn = tp + sum(hit), fn + len(hit) - sum(hit)
+        fp += sum(not any(k == x[0] and x[1] < e and x[2] > s for k, s, e in hidden) for x in more)
+    assert tp > 0.7 * (tp + fn) and fp < 0.08 * tp
+
+
+def test_marginals_against_enumeration():
+    import itertools
+
+    rng = np.random.default_rng(3)
+    k = len(pii.LABELS)
+    for chain, skip, exact in (([(0, 1), (1, 2)], [(0, 3)], True), ([], [(0, 1), (1, 2), (2, 3)], True), ([(0, 1), (1, 2), (2, 3)], [(0, 3)], False), ([], [], True)):
+        for given in ([0, 0, 0, 0], [0, 2, 0, 0]):
+            f = pii.Field(rng.normal(0, 1, (1 << pii.BITS, k)), rng.normal(0, 0.7, (k, k)), np.eye(k), rng.normal(0, 0.3, k))
+            g = pii.Nodes([(i, i + 1) for i in range(4)], rng.integers(0, 1 << pii.BITS, (4, 3)).tolist(), chain, skip, given)
+            weight = np.zeros((4, k))
+            for y in itertools.product(range(k), repeat=4):
+                if all(x in (0, z) or not x for x, z in zip(given, y, strict=True)):
+                    z = sum(f.local[g.features[i], y[i]].sum() + f.bias[y[i]] for i in range(4) if not given[i])
+                    z += sum(f.chain[y[a], y[b]] for a, b in chain) + sum(f.skip[y[a], y[b]] for a, b in skip)
+                    for i in range(4):
+                        weight[i, y[i]] += np.exp(z)
+            want = weight / weight.sum(1, keepdims=True)
+            assert np.abs(pii.marginals(f, [g], rounds=60) - want).max() < (1e-6 if exact else 0.06)
+
+
+def test_planting_keeps_what_it_says():
+    for t in talks(200, 5):
+        base = pii.base_spans(t)
+        text, put = pii.planted(t, base)
+        moved = [x for x in put if x[0] and text[x[1] : x[2]] in {t[s:e] for _, s, e in base}]
+        assert len(moved) >= len(base) and all(0 <= s < e <= len(text) for _, s, e in put)
+    assert pii.planted("", [])[1] in ([], [(None, 1, len(pii.planted("", [])[0]))])
+
+
+def test_spelled_out_places():
+    for text, want in (
+        ("write jane.doe at mail dot example dot com now", ["jane.doe at mail dot example dot com"]),
+        ("x (at) y.org, we met at noon. Then", ["x (at) y.org"]),
+        ("a" * 100_000 + " at " + "b" * 100_000, []),
+        (" at at.at ", []),
+    ):
+        assert [text[s:e] for s, e in pii.spelled_out(text)] == want
+
+
 def test_personal_data_that_is_rare(spark):
     last = spark.range(3000).orderBy(F.xxhash64("id").desc()).first().id
     rows = [(i, f"room {i % 90} on floor {i % 7}") for i in range(3000)]
