@@ -5,8 +5,14 @@ near_duplicates: one document of each group of copies (five-word shingles, simil
 personal_data: e-mail addresses, IP addresses, card and phone numbers are masked in the text; n_chars follows.
 packing: where each piece of each document goes among sequences of several permitted lengths (UTF-8 bytes).
 
-Each stage takes (spark, docs, sf_dir); all but the last return the columns of ``docs``. Nulls, empty and very long
-texts, repeated rows and empty tables are handled as the stages' operators say; extra columns are carried along.
+Each stage takes (spark, docs, sf_dir); all but the last return the columns of ``docs``, extra ones too.
+
+toxicity: null and empty texts hold no term and stay; long texts are scored whole; repeated rows stay or go together.
+near_duplicates: null and empty texts and texts without words are equal; one of them stays, the one of the least id (a null
+id last); of rows that repeat an id and a text the one whose columns come first as JSON stays; long texts are compared whole.
+personal_data: null texts stay null, empty ones empty; long texts are searched whole; repeated rows get equal texts.
+packing: null and empty texts are pieces of length 0; long texts are cut into pieces; repeated rows are packed each;
+equal lengths are taken in order of id. An empty table gives no rows in every stage.
 """
 
 from __future__ import annotations
@@ -17,23 +23,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanalign.llm import packing, pii, simhash, toxicity
-from spanalign.llm.common import discard, read_table, shared_dir
+from spanalign.llm.common import discard, read_table, shared_dir, small_batches
 from spanalign.session import ship
 
 
-def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def ready(spark: SparkSession) -> None:
+    """Executors have the package, and texts go to their Python workers in small batches."""
     ship(spark)
+    small_batches(spark)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ready(spark)
     model = toxicity.train(docs, read_table(spark, sf_dir, "labels"))
     return toxicity.without_toxic(docs, model)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship(spark)
+    ready(spark)
     return simhash.drop_near_duplicates(docs, words_per_shingle=5, similarity=0.8)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship(spark)
+    ready(spark)
     columns = docs.columns
     out = docs.withColumn("text", pii.masked(docs, pii.train(docs)))
     if "n_chars" in columns:
@@ -42,7 +54,7 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship(spark)
+    ready(spark)
     return packing.pack_documents(docs)
 
 
