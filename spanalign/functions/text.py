@@ -26,11 +26,6 @@ def quoted(text: Column) -> Column:
     return F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))
 
 
-def unquoted(text: Column) -> Column:
-    """The text of a quoted field: outer quotes off, doubled and escaped quotes undone."""
-    return F.regexp_replace(F.regexp_replace(text, r'^"|"$', ""), r'""|\\"', '"')
-
-
 def ms_as_seconds(ms: Column) -> Column:
     """Shortest decimal of a time in whole milliseconds: 1500 -> 1.5, 2000 -> 2."""
     s = F.concat((ms / 1000).cast("long").cast("string"), F.lit("."), F.lpad((ms % 1000).cast("string"), 3, "0"))

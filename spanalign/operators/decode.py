@@ -20,22 +20,17 @@ def boundaries(n: int, groups: Sequence[int] | None) -> np.ndarray:
 
 
 def anchor_skipped(spans: list[list[int]], frames: int, free: np.ndarray) -> list[tuple[int, int]]:
-    """Zero-width spans of a run go to the left neighbour's end before the run's first permitted boundary, else to the
-    right neighbour's start (the end of the frames for the last run)."""
-    n, i = len(spans), 0
-    while i < n:
-        if spans[i][0] < spans[i][1]:
-            i += 1
-            continue
-        end = i
-        while end < n and spans[end][0] >= spans[end][1]:
-            end += 1
-        left, right = (spans[i - 1][1] if i else 0), (spans[end][0] if end < n else frames)
-        first = next((b for b in range(i, end + 1) if free[b]), end)
-        for j in range(i, end):
-            spans[j] = [left, left] if j < first else [right, right]
-        i = end
-    return [tuple(s) for s in spans]
+    """Zero-width spans lie at a neighbour's edge: at the last wide span's end (0 without one) as long as no gap was
+    permitted since that span, else at the next wide span's start (the end of the frames without one)."""
+    on, off = np.asarray(spans, np.int64).reshape(-1, 2).T
+    n, at = len(on), np.arange(len(on))
+    wide = on < off
+    before = np.maximum.accumulate(np.where(wide, at, -1))  # the last wide span up to here
+    after = np.minimum.accumulate(np.where(wide, at, n)[::-1])[::-1]
+    gap = np.maximum.accumulate(np.where(free[:n], at, -1))  # the last place up to here where a gap may lie
+    left, right = np.concatenate([off, [0]])[before], np.concatenate([on, [frames]])[after]
+    place = np.where(gap > before, right, left)
+    return list(zip(np.where(wide, on, place).tolist(), np.where(wide, off, place).tolist(), strict=True))
 
 
 def decode(similarity: np.ndarray, groups: Sequence[int] | None = None, penalty: float = 0.5) -> tuple[list[tuple[int, int]], float]:

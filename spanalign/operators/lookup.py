@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import file_stem
+
 
 def resolve(tokens: DataFrame, vocab: DataFrame, global_symbols: list[str]) -> DataFrame:
     """Adds token_id: global symbols literally, others first as language/symbol, then literally; null if unknown.
@@ -18,6 +20,26 @@ def resolve(tokens: DataFrame, vocab: DataFrame, global_symbols: list[str]) -> D
     return t.withColumn("token_id", found).drop("__key", "__q", "__qid", "__l", "__lid")
 
 
+def resolve_any(symbols: DataFrame, vocab: DataFrame, languages: list[str]) -> DataFrame:
+    """Adds token_id to (.., symbol): of the symbol under each language in order, then literally; -1 if none is known.
+
+    vocab: (symbol, token_id), one row for each symbol."""
+    out = symbols
+    names = [*(F.concat(F.lit(f"{x}/"), "symbol") for x in languages), F.col("symbol")]
+    for i, name in enumerate(names):
+        known = vocab.select(F.col("symbol").alias(f"__s{i}"), F.col("token_id").alias(f"__t{i}"))
+        out = out.join(known, name == known[f"__s{i}"], "left").drop(f"__s{i}")
+    found = F.coalesce(*[f"__t{i}" for i in range(len(names))], F.lit(-1))
+    return out.withColumn("token_id", found).drop(*[f"__t{i}" for i in range(len(names))])
+
+
+def by_stem(clips: DataFrame, grids: DataFrame) -> DataFrame:
+    """Clips (path, ..) with the rows (path, ..) of the file of the same name without folder and suffix, as grid_*; a
+    clip without one keeps its row, with nulls."""
+    named = grids.select(file_stem(F.col("path")).alias("stem"), *[F.col(c).alias(f"grid_{c}") for c in grids.columns])
+    return clips.withColumn("stem", file_stem(F.col("path"))).join(named, "stem", "left")
+
+
 def first_match(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The first row of each key."""
     return rows.withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).filter("__r = 1").drop("__r")

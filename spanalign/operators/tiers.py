@@ -54,42 +54,37 @@ def handle_skips(spans: DataFrame, key: str, how: str, onset: str = "on_ms", off
     raise ValueError(f"skip handling {how!r}")
 
 
-def place_skips(spans: list[tuple[int, int]], groups: list[int], end_ms: int | None = None, width: int = 1) -> list[tuple[int, int]]:
-    """Gives each skipped span ``width`` ms inside the gap that its run lies in.
-
-    Spans of a run before the first group boundary continue from the left neighbour; the others end where the right
-    neighbour (after the last span: ``end_ms``) starts, if there is room. Later spans move on where room is short. The
-    first and the last edge of the clip are boundaries."""
-    n, out, i = len(spans), [], 0
-    inner = [g for g in range(1, n) if groups[g - 1] != groups[g]]
-    edges = [0, *inner, n]
-    while i < n:
-        left = out[-1][1] if out else 0
-        on, off = spans[i]
-        if on < off:
-            on = max(on, left)
-            out.append((on, max(off, on + width)))
-            i += 1
-            continue
-        end = next((j for j in range(i, n) if spans[j][0] < spans[j][1]), n)
-        limit = spans[end][0] if end < n else spans[-1][0] if end_ms is None else end_ms
-        before = min(next(e for e in edges if e >= i), end) - i
-        after = end - i - before
-        first_after = max(left + before * width, max(left, limit) - after * width)
-        starts = [left + k * width for k in range(before)] + [first_after + k * width for k in range(after)]
-        out += [(x, x + width) for x in starts]
-        i = end
-    return out
-
-
-def preserve_skips(spans: DataFrame, key: str, order: str, group: str, onset: str = "on_ms", offset: str = "off_ms", end: str | None = None) -> DataFrame:
-    """Keeps skipped spans as 1 ms intervals and moves following onsets; a clip's spans are one bounded sequence.
-
-    ``end``: a column with the clip's length in ms, towards which a last run is placed (none: where it was found)."""
-
-    def place(pdf):
-        pdf = pdf.sort_values(order, kind="stable")
-        placed = place_skips(list(zip(pdf[onset], pdf[offset], strict=True)), pdf[group].tolist(), None if end is None else int(pdf[end].iloc[0]))
-        return pdf.assign(**{onset: [a for a, _ in placed], offset: [b for _, b in placed]})
-
-    return spans.groupBy(key).applyInPandas(place, spans.schema)
+def preserve_skips(
+    spans: DataFrame, key: str, order: str, group: str, onset: str = "on_ms", offset: str = "off_ms", end: str | None = None
+) -> DataFrame:
+    """Keeps skipped spans as intervals of 1 ms and moves following onsets.
+
+    A run of skipped spans is an island. Its spans before the first place where the group changes (the clip's start is
+    one) follow their left neighbour at once; the others end where the next span that is not skipped begins, so each has
+    an earliest onset: that place less the number of spans of the run from it on. With these onsets the spans are
+    clamped, which moves what has no room. ``end``: a column with the clip's length in ms, where a last run ends (none:
+    the last span's own onset)."""
+    seq = Window.partitionBy(key).orderBy(order)
+    later = seq.rowsBetween(1, Window.unboundedFollowing)
+    skipped = is_skipped(onset, offset)
+    last = F.last(onset).over(seq.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    marked = spans.withColumns(
+        {
+            "__skip": skipped,
+            "__run": F.sum(F.when(skipped, 0).otherwise(1)).over(seq.rowsBetween(Window.unboundedPreceding, 0)),
+            "__edge": skipped & ~F.lag(group).over(seq).eqNullSafe(F.col(group)) | (skipped & F.lag(order).over(seq).isNull()),
+            "__next": F.coalesce(F.first(F.when(~skipped, F.col(onset)), ignorenulls=True).over(later), F.col(end) if end else last),
+        }
+    )
+    run = Window.partitionBy(key, "__run").orderBy(order)
+    marked = marked.withColumns(
+        {
+            "__right": F.max("__edge").over(run.rowsBetween(Window.unboundedPreceding, 0)),
+            "__left": F.count("*").over(run.rowsBetween(0, Window.unboundedFollowing)),
+        }
+    )
+    floor = F.when(F.col("__right"), F.greatest(F.lit(0), F.col("__next") - F.col("__left"))).otherwise(0)
+    moved = {onset: F.when(F.col("__skip"), floor).otherwise(F.col(onset)), offset: F.when(F.col("__skip"), floor).otherwise(F.col(offset))}
+    kinds = {c: spans.schema[c].dataType for c in (onset, offset)}
+    out = clamp(marked.withColumns(moved), key, order, onset, offset)
+    return out.withColumns({c: F.col(c).cast(t) for c, t in kinds.items()}).select(spans.columns)

@@ -116,7 +116,32 @@ def cosine_matrix(spark, sf):
     return cells_of(similarities(spark, sf))
 
 
-@query()
+#: The decoder's recurrence with the move taken at each boundary (0 wait, 1 leave a label, 2 skip) and the labels entered,
+#: walked back from the last boundary; as all boundaries permit a gap, skipped labels lie where the next one starts.
+DECODE_SQL = f"""with recursive {SIM_SQL}, rows as (select clip_id, t, list(s order by n) as s from cells group by all),
+dp as (select clip_id, 0::bigint as t, list_transform(range(len(s) + 1), lambda i: -0.5::double * i) as g,
+    list_transform(range(len(s)), lambda i: -1e9::double) as k, list_transform(range(len(s)), lambda i: false) as entered,
+    list_transform(range(len(s) + 1), lambda i: case when i = 0 then 0 else 2 end) as move from rows where t = 0
+  union all
+  select clip_id, t, h, k, entered, list_transform(range(1, len(h) + 1), lambda i: case when h[i] > v[i] then 2 when i > 1 and k[greatest(i - 1, 1)] > g[i] then 1 else 0 end)
+  from (select *, list_transform(range(1, len(v) + 1), lambda i: list_max(list_transform(range(1, i + 1), lambda j: v[j] + 0.5::double * (j - 1))) - 0.5::double * (i - 1)) as h
+    from (select *, list_transform(range(1, len(g) + 1), lambda i: case when i = 1 then g[1] else greatest(g[i], k[greatest(i - 1, 1)]) end) as v
+      from (select dp.clip_id, dp.t + 1 as t, dp.g, list_transform(range(1, len(dp.k) + 1), lambda i: dp.g[i] > dp.k[i]) as entered,
+          list_transform(range(1, len(dp.k) + 1), lambda i: greatest(dp.k[i], dp.g[i]) + s[i]) as k
+        from dp join rows on rows.clip_id = dp.clip_id and rows.t = dp.t)))),
+back as (select clip_id, max(t) as t, max(len(g)) - 1 as i, false as inside, 0::bigint as off_f, null::bigint as n, null::bigint as a, null::bigint as b from dp group by 1
+  union all
+  select clip_id, case when inside or how = 0 then t - 1 else t end, case when (inside and came) or (not inside and how = 2) then i - 1 else i end,
+    case when inside then not came else how = 1 end, case when inside then off_f else t end,
+    case when (inside and came) or (not inside and how = 2) then i - 1 end, case when inside then t - 1 else t end, case when inside then off_f else t end
+  from (select back.clip_id, back.t, back.i, back.inside, back.off_f, dp.move[back.i + 1] as how, dp.entered[back.i] as came
+    from back join dp on dp.clip_id = back.clip_id and dp.t = back.t where back.i > 0)),
+decoded as (select clip_id, n, a, b, (select max(t) + 1 from cells c where c.clip_id = back.clip_id) as frames from back where n is not null),
+spans as (select clip_id, n, case when a < b then a else coalesce(p, frames) end as on_f, case when a < b then b else coalesce(p, frames) end as off_f, frames
+  from (select *, first_value(case when a < b then a end ignore nulls) over (partition by clip_id order by n rows between 1 following and unbounded following) as p from decoded))"""
+
+
+@query(f"{DECODE_SQL} select clip_id, cast(n as integer) as n, cast(on_f as integer) as on_f, cast(off_f as integer) as off_f from spans")
 def span_decode(spark, sf):
     return decode.decode_clips(similarities(spark, sf)).drop("score")
 
@@ -233,9 +258,21 @@ def zero_width(spark, sf):
     return rough.groupBy("user_id").agg(F.count("*").alias("spans"), F.count_if(skipped).alias("skipped"), F.bool_or(skipped).alias("discarded"))
 
 
-@query()
+PRESERVE_SQL = f"""with {SPANS_SQL}r as (select user_id, ord as n, on_ms, greatest(on_ms, off_ms // 100 * 100) as off_ms, ord // 3 as group_id from num),
+m as (select *, on_ms >= off_ms as sk, sum(case when on_ms >= off_ms then 0 else 1 end) over w as run, on_ms >= off_ms and lag(group_id) over w is distinct from group_id as edge,
+    coalesce(first_value(case when on_ms < off_ms then on_ms end ignore nulls) over (w rows between 1 following and unbounded following),
+      last_value(on_ms) over (w rows between unbounded preceding and unbounded following)) as nxt
+  from r window w as (partition by user_id order by n)),
+q as (select *, bool_or(edge) over (partition by user_id, run order by n) as rt, count(*) over (partition by user_id, run order by n rows between current row and unbounded following) as lf from m),
+f as (select user_id, n, group_id, row_number() over (partition by user_id order by n) as k, case when not sk then on_ms when rt then greatest(0, nxt - lf) else 0 end as o, case when sk then 0 else off_ms end as x from q),
+c as (select *, max(greatest(x, o + 1) - k) over (partition by user_id order by n) + k as e from f)
+select user_id, n, greatest(o, coalesce(lag(e) over (partition by user_id order by n), o)) as on_ms, e as off_ms, group_id from c"""
+
+
+@query(PRESERVE_SQL)
 def preserve_skips(spark, sf):
-    rough = raw_spans(spark, sf).select("user_id", F.col("ord").alias("n"), "on_ms", F.greatest("on_ms", F.expr("off_ms div 100 * 100")).alias("off_ms"), F.lit(1).alias("group_id"))
+    off = F.greatest("on_ms", F.expr("off_ms div 100 * 100")).alias("off_ms")
+    rough = raw_spans(spark, sf).select("user_id", F.col("ord").alias("n"), "on_ms", off, F.expr("ord div 3").alias("group_id"))
     return tiers.preserve_skips(rough, "user_id", "n", "group_id")
 
 
@@ -264,10 +301,10 @@ def pairs(spark: SparkSession, sf: str) -> DataFrame:
     return evaluate.paired(clamped(spark, sf), raw_spans(spark, sf), "user_id")
 
 
-@query(f"with {PAIRS_SQL} select count(*) as intervals, round(avg(d_on), 6) as on_mean, max(d_on) as on_max, round(avg(d_off), 6) as off_mean, max(d_off) as off_max, avg(same::int::double) as label_rate, round(avg(case when d_on <= 20 and d_off <= 20 then 100.0::double else 0 end), 6) as hit_20, round(avg(case when d_on <= 60000 and d_off <= 60000 then 100.0::double else 0 end), 6) as hit_60000, list(d_on order by d_on)[count(*) * 9 // 10 + 1] as on_p90, list(d_off order by d_off)[count(*) * 9 // 10 + 1] as off_p90 from pr")
+@query(f"with {PAIRS_SQL} select count(*) as intervals, round(avg(d_on), 6) as on_mean, round(median(d_on)::double, 6) as on_median, max(d_on) as on_max, round(avg(d_off), 6) as off_mean, round(median(d_off)::double, 6) as off_median, max(d_off) as off_max, avg(same::int::double) as label_rate, round(avg(case when d_on <= 20 and d_off <= 20 then 100.0::double else 0 end), 6) as hit_20, round(avg(case when d_on <= 60000 and d_off <= 60000 then 100.0::double else 0 end), 6) as hit_60000, list(d_on order by d_on)[count(*) * 9 // 10 + 1] as on_p90, list(d_off order by d_off)[count(*) * 9 // 10 + 1] as off_p90 from pr")
 def eval_summary(spark, sf):
     s = evaluate.summary(pairs(spark, sf), [20, 60000])
-    return s.withColumns({c: F.round(c, 6) for c in ("on_mean", "off_mean", "hit_20", "hit_60000")})
+    return s.withColumns({c: F.round(c, 6) for c in ("on_mean", "on_median", "off_mean", "off_median", "hit_20", "hit_60000")})
 
 
 @query(f"with {PAIRS_SQL} select user_id, round(avg(d_on), 6) as mae, count(*) as n from pr group by 1 order by avg(d_on) desc, user_id desc, n desc limit 10")
@@ -275,9 +312,21 @@ def eval_worst_k(spark, sf):
     return evaluate.worst(pairs(spark, sf), "user_id", 10).withColumn("mae", F.round("mae", 6))
 
 
-@query(f"with {PAIRS_SQL} select user_id, count(*) as n, bool_and(d_on <= 0 and d_off <= 0) as identical, max(greatest(d_on, d_off)) as max_diff, count(*) filter (where not same) as label_misses from pr group by 1")
+RUN_SQL = CLAMP_SQL + """, kept as (select *, row_number() over (partition by user_id order by ord) as pos from cl
+  where user_id not in (select user_id from num where greatest(on_ms, off_ms // 100 * 100) <= on_ms)),
+pr as (select num.user_id, kept.ord is not null as met, abs(kept.on_ms - num.on_ms) as d_on, abs(kept.off_ms - num.off_ms) as d_off, kept.text <> num.text as missed
+  from num left join kept on kept.user_id = num.user_id and kept.pos = num.ord)
+select user_id, count(*) as n, count(*) filter (where met) as n_other, bool_and(met and d_on <= 0 and d_off <= 0) as identical, coalesce(max(greatest(d_on, d_off)), 0) as max_diff,
+  round(coalesce(avg((d_on + d_off) / 2.0::double), 0), 6) as mean_diff, count(*) filter (where missed) as label_misses from pr group by 1"""
+
+
+@query(f"with {RUN_SQL}")
 def run_diff(spark, sf):
-    return pairs(spark, sf).groupBy("user_id").agg(F.count("*").alias("n"), F.bool_and((F.col("d_on") <= 0) & (F.col("d_off") <= 0)).alias("identical"), F.max(F.greatest("d_on", "d_off")).alias("max_diff"), F.count_if(~F.col("same")).alias("label_misses"))
+    """Raw spans against the clamped ones of a run that discards users with a skipped span."""
+    raw = raw_spans(spark, sf)
+    rough = raw.withColumn("off_ms", F.greatest("on_ms", F.expr("off_ms div 100 * 100")))
+    kept = clamped(spark, sf).join(tiers.handle_skips(rough, "user_id", "discard").select("user_id").distinct(), "user_id", "left_semi")
+    return evaluate.run_difference(raw, kept, "user_id").withColumn("mean_diff", F.round("mean_diff", 6))
 
 
 # ---- signals
@@ -308,6 +357,10 @@ def sessions(spark, sf):
     return e.groupBy("user_id", F.session_window("at", "2 hours")).agg(F.min("ts").alias("started"), F.max("ts").alias("ended"), F.count("*").alias("n")).select("user_id", "started", "ended", "n")
 
 
+@query(f"""{DECODE_SQL}, kept as (select clip_id, on_f * 10 as on_ms, off_f * 10 as off_ms, 'label' || n as text from spans where on_f < off_f
+  union all select clip_id, frames * 10, null, null from (select distinct clip_id, frames from spans)),
+prev as (select *, coalesce(lag(off_ms) over (partition by clip_id order by on_ms, off_ms nulls last), 0) as p from kept)
+select clip_id, on_ms, off_ms, text from prev where off_ms is not null union all select clip_id, p, on_ms, 'SP' from prev where p < on_ms""")
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Vectors to clips, similarities, decode, spans in milliseconds and the gap-filled tier."""
     sims = similarities(spark, sf)
@@ -318,7 +371,7 @@ def flagship(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(QUERIES) | {"flagship": flagship}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:

@@ -18,6 +18,15 @@ def unquote(value: str) -> str:
     return value.replace('""', '"').replace('\\"', '"')
 
 
+NUMBER = re.compile(r"\s*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)")
+
+
+def number(text: str) -> float:
+    """The number that a text begins with; 0 without one."""
+    m = NUMBER.match(text)
+    return float(m[1]) if m else 0.0
+
+
 def parse(content: str) -> list[tuple[str, int, float, float, str]]:
     """(tier, ord, xmin, xmax, text) of all intervals, labels trimmed, in file order."""
     out, tier, now, order = [], "", None, 0
@@ -35,7 +44,7 @@ def parse(content: str) -> list[tuple[str, int, float, float, str]]:
                 now[key] = value
                 if key == "text":
                     order += 1
-                    out.append((tier, order, float(now.get("xmin", 0)), float(now.get("xmax", 0)), unquote(value).strip()))
+                    out.append((tier, order, number(now.get("xmin", "")), number(now.get("xmax", "")), unquote(value).strip()))
                     now = {}
     return out
 
@@ -54,6 +63,18 @@ def read_intervals(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInPandas(run, "path string, tier string, ord int, xmin double, xmax double, text string")
 
 
+def register(spark: SparkSession) -> None:
+    """The table function ``textgrid_intervals(content, tier)`` for SQL: (ord, xmin, xmax, text) of one tier."""
+
+    class Intervals:
+        def eval(self, content: str, tier: str):
+            for name, order, xmin, xmax, text in parse(content or ""):
+                if name == tier:
+                    yield order, xmin, xmax, text
+
+    spark.udtf.register("textgrid_intervals", F.udtf(Intervals, returnType="ord int, xmin double, xmax double, text string"))
+
+
 def interval_lines(spans: DataFrame, key: str) -> DataFrame:
     """(key, body, n): the interval lines of each key's tier. One key is one file, so its lines meet in one row."""
     line = F.struct("on_ms", F.concat(F.lit("            xmin = "), ms_as_seconds(F.col("on_ms")), F.lit("\n            xmax = "), ms_as_seconds(F.col("off_ms")), F.lit("\n            text = "), quoted(F.col("text")), F.lit("\n")).alias("l"))

@@ -8,11 +8,20 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spanalign.operators import align, decode, lookup, metrics, network, signal, tiers
+from spanalign.operators import align, decode, evaluate, lookup, metrics, network, signal, tiers
 from spanalign.sources import audio, model_file, phones, sinks, textgrid
 from spanalign.streaming import watch
 
 
+def placed(spark, spans, groups, end_ms=None):
+    """Spans after ``preserve_skips``, as (onset, offset) in order."""
+    rows = [(1, i, a, b, g, end_ms) for i, ((a, b), g) in enumerate(zip(spans, groups, strict=True))]
+    df = spark.createDataFrame(rows, "clip_id int, n int, on_ms long, off_ms long, group_id int, end_ms long")
+    got = tiers.preserve_skips(df, "clip_id", "n", "group_id", end=None if end_ms is None else "end_ms")
+    assert got.schema == df.schema
+    return [(r.on_ms, r.off_ms) for r in got.orderBy("n").collect()]
+
+
 def diag(t, n):
     m = -np.ones((t, n))
     for i in range(n):
@@ -84,7 +93,7 @@ def test_tiers(spark):
     spans = spark.createDataFrame([("c", 500, 1000, "h"), ("c", 1500, 2000, "e")], "k string, on_ms long, off_ms long, text string")
     full = tiers.fill_gaps(spans, "k", spark.createDataFrame([("c", 2500)], "k string, end_ms long"), "SP").orderBy("on_ms").collect()
     assert [(r.on_ms, r.off_ms, r.text) for r in full] == [(0, 500, "SP"), (500, 1000, "h"), (1000, 1500, "SP"), (1500, 2000, "e"), (2000, 2500, "SP")]
-    assert tiers.place_skips([(0, 500), (500, 500), (500, 1000)], [1, 2, 3]) == [(0, 500), (500, 501), (501, 1000)]
+    assert placed(spark, [(0, 500), (500, 500), (500, 1000)], [1, 2, 3]) == [(0, 500), (500, 501), (501, 1000)]
 
 
 def test_owner_at(spark):
@@ -179,14 +188,14 @@ def test_queries_against_sql(spark):
     assert queries()["flagship"](spark, d).filter(F.col("off_ms") <= F.col("on_ms")).count() == 0
 
 
-def test_skips_are_placed_inside_their_gap():
+def test_skips_are_placed_inside_their_gap(spark):
     skipped = [(0, 100), (300, 300), (300, 300), (300, 400)]
-    assert tiers.place_skips(skipped, [1, 1, 2, 3]) == [(0, 100), (100, 101), (299, 300), (300, 400)]
-    assert tiers.place_skips(skipped, [1, 2, 3, 4]) == [(0, 100), (298, 299), (299, 300), (300, 400)]
-    assert tiers.place_skips([(0, 5), (5, 5), (5, 9)], [1, 1, 1]) == [(0, 5), (5, 6), (6, 9)]
-    assert tiers.place_skips([(0, 5), (5, 5)], [1, 2], end_ms=20) == [(0, 5), (19, 20)]
-    assert tiers.place_skips([(5, 5), (5, 9)], [1, 1]) == [(4, 5), (5, 9)]
-    assert tiers.place_skips([], []) == []
+    assert placed(spark, skipped, [1, 1, 2, 3]) == [(0, 100), (100, 101), (299, 300), (300, 400)]
+    assert placed(spark, skipped, [1, 2, 3, 4]) == [(0, 100), (298, 299), (299, 300), (300, 400)]
+    assert placed(spark, [(0, 5), (5, 5), (5, 9)], [1, 1, 1]) == [(0, 5), (5, 6), (6, 9)]
+    assert placed(spark, [(0, 5), (5, 5)], [1, 2], end_ms=20) == [(0, 5), (19, 20)]
+    assert placed(spark, [(5, 5), (5, 9)], [1, 1]) == [(4, 5), (5, 9)]
+    assert placed(spark, [], []) == []
 
 
 def test_erf_and_bounded_resampling():
@@ -291,3 +300,91 @@ def test_owners_are_inherited_from_a_first_pass(spark):
     rows += tier("phones", (0, 1, "SP"), (1, 1.5, "g"), (1.5, 2, "u"), (2, 3, "d"), (3, 4, "SP"), (4, 5, "e")) + [("other", "phones", 1, 0.0, 1.0, "a")]
     got = align.inherit_owners(spark.createDataFrame(rows, "clip_id string, tier string, ord int, xmin double, xmax double, text string"), ["SP"]).orderBy("n").collect()
     assert [tuple(r) for r in got] == [("k", 0, "g", 1, 1, "good day", "good"), ("k", 1, "u", 1, 1, "good day", "good"), ("k", 2, "d", 1, 2, "good day", "day"), ("k", 3, "e", 2, 3, "end", "end")]
+
+
+def test_preserved_skips_keep_order_and_width(spark):
+    import random
+
+    rng = random.Random(8)
+    rows = []
+    for clip in range(200):
+        t = 0
+        for n in range(rng.randint(1, 9)):
+            on = t + rng.choice([0, 0, 2, 7])
+            off = on + rng.choice([0, 0, 1, 6])
+            rows.append((clip, n, on, off, n // 2))
+            t = off
+    df = spark.createDataFrame(rows, "clip_id int, n int, on_ms long, off_ms long, group_id int")
+    got = {}
+    for r in tiers.preserve_skips(df, "clip_id", "n", "group_id").orderBy("clip_id", "n").collect():
+        got.setdefault(r.clip_id, []).append(r)
+    was = {(c, n): (a, b) for c, n, a, b, _ in rows}
+    for clip, spans in got.items():
+        assert len(spans) == sum(c == clip for c, *_ in rows)
+        assert all(x.off_ms <= y.on_ms for x, y in zip(spans, spans[1:], strict=False)) and all(x.off_ms > x.on_ms for x in spans)
+        for x in spans:
+            on, off = was[clip, x.n]
+            assert x.off_ms - x.on_ms == 1 if on == off else x.on_ms >= on and x.off_ms >= off
+
+
+def test_anchor_skipped_by_definition():
+    import random
+
+    rng = random.Random(9)
+    for _ in range(2000):
+        n, frames, t, spans = rng.randint(1, 6), 8, 0, []
+        for _ in range(n):
+            a = min(frames, t + rng.randint(0, 1))
+            t = min(frames, a + rng.choice([0, 0, 1, 2]))
+            spans.append([a, t])
+        free = np.array([True, *(rng.random() < 0.4 for _ in range(n - 1)), True])
+        got = decode.anchor_skipped([list(x) for x in spans], frames, free)
+        for i, (a, b) in enumerate(spans):
+            lefts = [j for j in range(i) if spans[j][0] < spans[j][1]]
+            rights = [j for j in range(i + 1, n) if spans[j][0] < spans[j][1]]
+            start = lefts[-1] + 1 if lefts else 0
+            if a < b:
+                assert got[i] == (a, b)
+            elif free[start : i + 1].any():
+                assert got[i] == ((spans[rights[0]][0] if rights else frames),) * 2
+            else:
+                assert got[i] == ((spans[lefts[-1]][1] if lefts else 0),) * 2
+
+
+def test_run_difference_and_summary(spark):
+    kind = "k string, ord int, on_ms long, off_ms long, text string"
+    ref = spark.createDataFrame([("a", 0, 0, 5, "x"), ("a", 1, 5, 9, "y"), ("b", 0, 0, 4, "z"), ("c", 0, 1, 2, "w"), ("d", 0, 0, 1, "v")], kind)
+    other = spark.createDataFrame([("a", 0, 0, 5, "x"), ("a", 1, 5, 9, "y"), ("b", 0, 0, 6, "q"), ("d", 0, 0, 1, "v"), ("d", 1, 1, 2, "u"), ("e", 0, 0, 1, "n")], kind)
+    got = {r.k: tuple(r)[1:] for r in evaluate.run_difference(ref, other, "k").collect()}
+    assert got == {"a": (2, 2, True, 0, 0.0, 0), "b": (1, 1, False, 2, 1.0, 1), "c": (1, 0, False, 0, 0.0, 0), "d": (1, 2, False, 0, 0.0, 0)}
+    rng = np.random.default_rng(4)
+    values = rng.integers(0, 20_000, 997)
+    pairs = spark.createDataFrame([("a", int(v), int(v // 2), True) for v in values], "k string, d_on long, d_off long, same boolean")
+    s = evaluate.summary(pairs, [20]).first()
+    assert (s.on_p90, s.off_p90) == (sorted(values)[int(0.9 * 997)], sorted(values // 2)[int(0.9 * 997)]) and s.on_median == np.median(values)
+
+
+def test_sinks_and_lookups(spark, tmp_path):
+    files = spark.createDataFrame([("a b", 'x = "1"\nend\n'), ("dir/c=d", "two\n")], "k string, content string")
+    sinks.write_text_grids(files, "k", str(tmp_path / "out"))
+    assert sorted(str(p.relative_to(tmp_path / "out")) for p in (tmp_path / "out").rglob("*.TextGrid")) == ["a b.TextGrid", "dir/c=d.TextGrid"]
+    assert (tmp_path / "out" / "a b.TextGrid").read_text() == 'x = "1"\nend\n' and not list((tmp_path / "out").glob("_staged*"))
+    errors = spark.createDataFrame([("b", 2, 1.23456), ("a", 1, 0.0)], "k string, n long, mae double")
+    sinks.write_evaluation(errors, "k", str(tmp_path / "csv"))
+    lines = [x for p in sorted((tmp_path / "csv").glob("part-*")) for x in p.read_text().splitlines()]
+    assert [x for x in lines if not x.startswith("identifier")] == ["a,1,0.000", "b,2,1.235"]
+    clips = spark.createDataFrame([("a", None), ("b", "too long"), ("c", None)], "path string, error string")
+    assert {tuple(r) for r in sinks.run_summary(clips).collect()} == {("ok", 2), ("skipped", 1)}
+    vocab = spark.createDataFrame([("en/a", 1), ("a", 2), ("fr/b", 3)], "symbol string, token_id int")
+    got = lookup.resolve_any(spark.createDataFrame([("a",), ("b",), ("z",)], "symbol string"), vocab, ["fr", "en"]).collect()
+    assert {r.symbol: r.token_id for r in got} == {"a": 1, "b": 3, "z": -1}
+    grids = spark.createDataFrame([("/g/one.TextGrid", "t")], "path string, text string")
+    paths = spark.createDataFrame([("/w/one.wav",), ("/w/two.wav",)], "path string")
+    assert {r.path: r.grid_text for r in lookup.by_stem(paths, grids).collect()} == {"/w/one.wav": "t", "/w/two.wav": None}
+    marked = spark.createDataFrame([("SP",), ("a",), (None,)], "text string")
+    assert sorted(r.text or "" for r in evaluate.without_marks(marked, ["SP", "AP"]).collect()) == ["", "a"]
+    textgrid.register(spark)
+    spark.createDataFrame([('item [1]:\nname = "phones"\nintervals [1]:\nxmin = 0.5s\nxmax = bad\ntext = "h"',)], "c string").createOrReplaceTempView("grid_files")
+    assert [tuple(r) for r in spark.sql("select i.* from grid_files, lateral textgrid_intervals(c, 'phones') i").collect()] == [(1, 0.5, 0.0, "h")]
+    sinks.write_diagnosis(spark.createDataFrame([('q"', 3, 2, 0.5, 0.5, 0.5, 0.5)], "identifier string, num_frames int, num_tokens int, agreement double, confidence double, determinacy double, monotonicity double"), str(tmp_path / "json"))
+    assert spark.read.json(str(tmp_path / "json")).first().identifier == 'q"'
