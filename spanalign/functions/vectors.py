@@ -25,15 +25,5 @@ def softmax_at(logits: Column, index: Column) -> Column:
     return F.exp(F.element_at(logits, index + 1) - top) / total
 
 
-def rms_norm(x: Column, weight: Column, eps: float = 1e-6) -> Column:
-    scale = F.sqrt(dot(x, x) / F.size(x) + eps)
-    return F.zip_with(x, weight, lambda v, w: v.cast("double") / scale * w)
-
-
-def linear(x: Column, rows: list[list[float]], bias: list[float]) -> Column:
-    """x W' + b for a small constant matrix."""
-    return F.array(*[dot(x, F.array(*[F.lit(float(v)) for v in row])) + float(b) for row, b in zip(rows, bias, strict=True)])
-
-
 def evidence(similarity: Column, power: float = 2.0) -> Column:
     return F.pow(F.greatest(similarity, F.lit(0.0)), F.lit(power))

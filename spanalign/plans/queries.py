@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import vectors as V
-from ..operators import decode, evaluate, lookup, metrics, signal, tiers
+from ..operators import decode, evaluate, lookup, metrics, network, signal, tiers
 
 STOPS = ["the", "and", "of", "de", "la", "der", "die"]
 CLIP = 50
@@ -46,20 +46,22 @@ def phone_tokenize(spark, sf):
     return kept.withColumn("pos", F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("pos")).cast("long"))
 
 
-VOCAB_SQL = """vocab as (select lang || '/' || w as symbol, count(*) as token_id from (select lang, unnest(regexp_split_to_array(lower(text), '[^a-zà-ÿ]+')) as w from documents) where length(w) between 1 and 4 and w not in ('a', 'de', 'in', 'is', 'le') group by 1
+VOCAB_SQL = """vocab as (select lang || '/' || w as symbol, count(*) as token_id from (select lang, unnest(regexp_split_to_array(lower(text), '[^a-zà-ÿ]+')) as w from documents) where w not in ('', 'a', 'de', 'in', 'is', 'le') group by 1
 union all select w, count(*) from (select unnest(regexp_split_to_array(lower(text), '[^a-zà-ÿ]+')) as w from documents) where w in ('a', 'de', 'in', 'is', 'le', 'that', 'with') group by 1)"""
 
 
 @query(f"with {VOCAB_SQL}, t as (select lower(t.symbol) as symbol, case c.role when 'user' then 'en' when 'assistant' then 'fr' else 'de' end as lang from {TOKENS} t join conversations c using (conv_id, turn)) select t.lang, t.symbol, coalesce(case when t.symbol in ('a', 'in') then l.token_id else coalesce(q.token_id, l.token_id) end, 0) as token_id, count(*) as n from t left join vocab q on q.symbol = t.lang || '/' || t.symbol left join vocab l on l.symbol = t.symbol group by all")
 def vocab_resolve(spark, sf):
-    words = table(spark, sf, "documents").select("lang", F.explode(F.split(F.lower("text"), "[^a-zà-ÿ]+")).alias("w"))
-    shared = ["a", "de", "in", "is", "le"]
-    own = words.filter(F.length("w").between(1, 4) & ~F.col("w").isin(shared)).groupBy(F.concat("lang", F.lit("/"), "w").alias("symbol")).agg(F.count("*").alias("token_id"))
-    general = words.filter(F.col("w").isin(*shared, "that", "with")).groupBy(F.col("w").alias("symbol")).agg(F.count("*").alias("token_id"))
+    w, shared = F.col("w"), ["a", "de", "in", "is", "le"]
+    words = table(spark, sf, "documents").select("lang", F.explode(F.split(F.lower("text"), "[^a-zà-ÿ]+")).alias("w")).filter("w <> ''")
+    words = words.groupBy("lang", "w").agg(F.count("*").alias("n"))
+    literal = F.when(w.isin(*shared, "that", "with"), w)
+    names = F.array_compact(F.array(F.when(~w.isin(shared), F.concat("lang", F.lit("/"), w)), literal))
+    vocab = words.select(F.explode(names).alias("symbol"), "n").groupBy("symbol").agg(F.sum("n").alias("token_id"))
     role = table(spark, sf, "conversations").select("conv_id", "turn", "role")
     lang = F.when(F.col("role") == "user", "en").when(F.col("role") == "assistant", "fr").otherwise("de")
     asked = tokens(spark, sf).join(role, ["conv_id", "turn"]).select(lang.alias("lang"), F.lower("symbol").alias("symbol")).groupBy("lang", "symbol").agg(F.count("*").alias("n"))
-    return lookup.resolve(asked, own.unionByName(general), ["a", "in"]).select("lang", "symbol", F.coalesce("token_id", F.lit(0)).alias("token_id"), "n")
+    return lookup.resolve(asked, vocab, ["a", "in"]).select("lang", "symbol", F.coalesce("token_id", F.lit(0)).alias("token_id"), "n")
 
 
 @query("select doc_id, lang, source, case when starts_with(label, lang || '/') and length(label) > length(lang) + 1 then substr(label, length(lang) + 2) else label end as label from (select doc_id, lang, source, case when doc_id % 3 = 0 then lang || '/' || source when doc_id % 3 = 1 then source else lang || '/' end as label from documents)")
@@ -78,10 +80,11 @@ def rule_match(spark, sf):
     return lookup.first_rule(table(spark, sf, "part").select("p_partkey", "p_type"), "p_type", [("STANDARD*", "q8"), ("*STEEL", "q4"), ("*A*", "f16")])
 
 
-@query("select p_name as name, 'missing' as side from part where p_partkey % 40 = 0 and p_name not in (select p_name from part where p_partkey % 60 = 0) union select p_name, 'extra' from part where p_partkey % 60 = 0 and p_name not in (select p_name from part where p_partkey % 40 = 0)")
+@query("select p_name as name, 'missing' as side from part where p_brand = 'Brand#4' and p_name not in (select p_name from part where p_brand = 'Brand#7') union select p_name, 'extra' from part where p_brand = 'Brand#7' and p_name not in (select p_name from part where p_brand = 'Brand#4')")
 def name_audit(spark, sf):
-    part = table(spark, sf, "part").select("p_partkey", F.col("p_name").alias("name"))
-    need, have = part.filter("p_partkey % 40 = 0").select("name").distinct(), part.filter("p_partkey % 60 = 0").select("name").distinct()
+    """Names that one brand needs and another lacks, and the other way round."""
+    part = table(spark, sf, "part").select("p_brand", F.col("p_name").alias("name"))
+    need, have = (part.filter(F.col("p_brand") == b).select("name").distinct() for b in ("Brand#4", "Brand#7"))
     return need.join(have, "name", "left_anti").withColumn("side", F.lit("missing")).unionByName(have.join(need, "name", "left_anti").withColumn("side", F.lit("extra")))
 
 
@@ -186,23 +189,48 @@ def agreement(spark, sf):
     return similarities(spark, sf).groupBy("clip_id").agg(F.round(F.avg(V.softmax_at(F.col("sims"), (F.col("t") % 10).cast("int"))), 8).alias("agreement"))
 
 
-@query("select vec_id, round(embedding[1]::double / s, 6) as first, round(embedding[64]::double / s, 6) as last from (select *, sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double)) / len(embedding) + 1e-6) as s from embeddings)")
+CELLS_SQL = f"select vec_id, vec_id // {CLIP} as c, vec_id % {CLIP} as t, unnest(embedding)::double as x, generate_subscripts(embedding, 1) - 1 as d from embeddings"
+
+
+def layer(spark: SparkSession, sf: str, f: Callable) -> DataFrame:
+    """(vec_id, d, y): a network layer over the vectors of each clip as a matrix [frame, dimension]."""
+
+    def run(pdf):
+        import numpy as np
+        import pandas as pd
+
+        pdf = pdf.sort_values("vec_id")
+        y = f(np.array(pdf.embedding.tolist(), float))
+        return pd.DataFrame({"vec_id": np.repeat(pdf.vec_id.to_numpy(), y.shape[1]), "d": np.tile(np.arange(y.shape[1]), len(y)), "y": y.ravel()})
+
+    rows = table(spark, sf, "embeddings").select("vec_id", "embedding", F.expr(f"vec_id div {CLIP}").alias("c"))
+    return rows.groupBy("c").applyInPandas(run, "vec_id long, d long, y double").withColumn("y", F.round("y", 6) + 0.0)
+
+
+@query(f"select vec_id, d, round(x / sqrt(avg(x * x) over (partition by vec_id) + 1e-6), 6) + 0.0::double as y from ({CELLS_SQL})")
 def rms_norm(spark, sf):
-    normed = V.rms_norm(F.col("embedding"), F.transform("embedding", lambda _: F.lit(1.0)))
-    return table(spark, sf, "embeddings").select("vec_id", F.round(normed[0], 6).alias("first"), F.round(normed[63], 6).alias("last"))
+    return layer(spark, sf, lambda x: network.rms_norm(x, 1.0))
 
 
-@query("select vec_id, round(list_sum(list_transform(range(1, 65), lambda i: embedding[i]::double * ((i - 1) % 7 - 3))) + 0.5, 6) as y from embeddings")
+@query(f"select vec_id, o as d, round(sum(x * ((o + 1) * d % 7 - 3)) + 0.5, 6) + 0.0::double as y from ({CELLS_SQL}), (select unnest(range(8)) as o) group by vec_id, o")
 def linear(spark, sf):
-    y = V.linear(F.col("embedding"), [[float(i % 7 - 3) for i in range(64)]], [0.5])
-    return table(spark, sf, "embeddings").select("vec_id", F.round(y[0], 6).alias("y"))
+    import numpy as np
+
+    weights = np.array([[(o + 1) * d % 7 - 3 for d in range(64)] for o in range(8)], float)
+    return layer(spark, sf, lambda x: network.linear(x, weights, np.full(8, 0.5)))
 
 
-@query(f"select vec_id, round(0.25 * coalesce(lag(x) over w, 0) + 0.5 * x + 0.25 * coalesce(lead(x) over w, 0), 6) as y from (select vec_id, vec_id // {CLIP} as c, embedding[1]::double as x from embeddings) window w as (partition by c order by vec_id)")
+@query(f"select vec_id, d, round(0.25 * coalesce(lag(x) over w, 0) + 0.5 * x + 0.25 * coalesce(lead(x) over w, 0), 6) + 0.0::double as y from ({CELLS_SQL}) window w as (partition by c, d order by t)")
 def dwconv(spark, sf):
-    rows = table(spark, sf, "embeddings").select("vec_id", F.expr(f"vec_id div {CLIP}").alias("c"), F.col("embedding")[0].cast("double").alias("x"))
-    seq = Window.partitionBy("c").orderBy("vec_id")
-    return rows.select("vec_id", F.round(0.25 * F.coalesce(F.lag("x").over(seq), F.lit(0.0)) + 0.5 * F.col("x") + 0.25 * F.coalesce(F.lead("x").over(seq), F.lit(0.0)), 6).alias("y"))
+    import numpy as np
+
+    return layer(spark, sf, lambda x: network.depthwise(x, np.tile([0.25, 0.5, 0.25], (64, 1))))
+
+
+@query(f"""with a as (select *, t * pow(10000, -(d // 2) / 32.0) as angle, case when d % 2 = 0 then lead(x) over w else lag(x) over w end as other from ({CELLS_SQL}) window w as (partition by vec_id order by d))
+select vec_id, d, round(x * cos(angle) + case when d % 2 = 0 then -other else other end * sin(angle), 6) + 0.0::double as y from a""")
+def rope(spark, sf):
+    return layer(spark, sf, lambda x: network.rope(x[:, None], 1e4)[:, 0])
 
 
 # ---- intervals
